@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphweave.llm import jaccard, lines, mixing, packing, quality, secrets
+from glyphweave.llm import embedding, jaccard, lines, mixing, packing, quality, secrets
 from glyphweave.session import table
 
 
@@ -42,11 +42,16 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_history(table(spark, sf_dir, "documents"), secrets.fresh_ledger(spark))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), cos=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
