@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphweave.llm import embedding, jaccard, lines, mixing, packing, quality, secrets
+from glyphweave.llm import embedding, jaccard, lines, mixing, packing, pii, quality, secrets
 from glyphweave.session import table
 
 
@@ -46,10 +46,15 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), cos=0.98)
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key that the caller keeps")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op6_secret_scans": op6_secret_scans,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
