@@ -5,24 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 
+_MADE: dict[str, WordIds] = {}
+
+
 class WordIds(dict):
     """Ids of each word, worked out once while it stays in the cache.
 
     The tokenizer drops white space and splits there before anything else, so a text's ids are its words' ids in a row
     (tests hold this against whole texts). Words part at the six ASCII spaces only; any other space stays inside its
-    word, where the tokenizer handles it. The cache is emptied when it holds `most` words: that bounds memory and changes no result.
+    word, where the tokenizer handles it. It also lower-cases, and parts letters from marks: so ASCII words share the ids of
+    their letters whatever their case and the marks that follow. The cache is emptied when it holds `most` words: that
+    bounds memory and changes no result. A worker process keeps it from task to task.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.encode, self.most = Tokenizer.from_file(path).encode, most
 
+    @staticmethod
+    def at(path: str) -> WordIds:
+        if path not in _MADE:
+            _MADE[path] = WordIds(path)
+        return _MADE[path]
+
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        self[word] = found = tuple(self.encode(word.decode(), add_special_tokens=False).ids)
+        stem = word.rstrip(b".,;:!?")
+        if stem.isalpha() and (stem != word or not stem.islower()):
+            found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else ())
+        else:
+            found = tuple(self.encode(word.decode(), add_special_tokens=False).ids)
+        self[word] = found
         return found
 
     def of(self, text: str) -> Iterator[tuple[int, ...]]:

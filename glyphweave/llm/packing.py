@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, ids = TaskContext.get().partitionId(), {}, WordIds(tokenizer)
+        part, seen, ids = TaskContext.get().partitionId(), {}, WordIds.at(tokenizer)
         for batch in batches:
             row, rest = [], []
             for k, text in enumerate(batch.column(len(keep)).to_pylist()):
