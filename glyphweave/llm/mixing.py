@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     odds = lambda p: p / (1 - p)
     chance = F.greatest(F.least(F.col("rest") * F.col("weight"), F.lit(1 - 1e-9)), F.lit(1e-9))
     ranked = seen.withColumn("u", uniform(F.col("doc_id"))).withColumn("rank", odds(F.col("u")) / odds(chance)).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-    sums = ranked.groupBy("__source", "need", "bucket").agg(F.sum("size").alias("size"))
+    sums = ranked.where("rest > 0").groupBy("__source", "need", "bucket").agg(F.sum("size").alias("size"))
     over = Window.partitionBy("__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = sums.withColumn("upto", F.sum("size").over(over)).where(F.col("upto") > F.col("need")).groupBy("__source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")), "bucket").alias("edge"))
     edge = cut(edge.select(F.col("__source").alias("__e"), F.col("edge.bucket").alias("edge"), "edge.before"))
