@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import numpy as np
 
 
 _MADE: dict[str, WordIds] = {}
 
 
 class WordIds(dict):
-    """Ids of each word, worked out once while it stays in the cache.
+    """Ids of each word (bytes of little-endian 32-bit numbers), worked out once while it stays in the cache.
 
     The tokenizer drops white space and splits there before anything else, so a text's ids are its words' ids in a row
     (tests hold this against whole texts). Words part at the six ASCII spaces only; any other space stays inside its
@@ -18,7 +18,7 @@ class WordIds(dict):
     bounds memory and changes no result. A worker process keeps it from task to task.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -30,16 +30,16 @@ class WordIds(dict):
             _MADE[path] = WordIds(path)
         return _MADE[path]
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
         stem = word.rstrip(b".,;:!?")
         if stem.isalpha() and (stem != word or not stem.islower()):
-            found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else ())
+            found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else b"")
         else:
-            found = tuple(self.encode(word.decode(), add_special_tokens=False).ids)
+            found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = found
         return found
 
-    def of(self, text: str) -> Iterator[tuple[int, ...]]:
-        return map(self.__getitem__, text.encode().split())
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))

@@ -15,9 +15,7 @@ empty result. Other columns are not read, except those named in keep.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -86,23 +84,23 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
         from pyspark import TaskContext
 
         part, seen, ids = TaskContext.get().partitionId(), {}, WordIds.at(tokenizer)
+        end = END.to_bytes(4, "little")
         for batch in batches:
             row, rest = [], []
-            for k, text in enumerate(batch.column(len(keep)).to_pylist()):
-                got = array("I", chain.from_iterable(ids.of(text or "")))
-                got.append(END)
-                for piece, start in enumerate(range(0, len(got), capacity)):
-                    one = got[start : start + capacity]
-                    n = len(one)
+            for k, text in enumerate(batch.column(len(keep))):
+                got = ids.of(text.as_py() or b"") + end
+                for piece, start in enumerate(range(0, len(got), 4 * capacity)):
+                    one = got[start : start + 4 * capacity]
+                    n = len(one) // 4
                     number = seen.get(n, 0)
                     seen[n] = number + 1
                     row.append(k)
-                    rest.append((piece, start, n, zlib.crc32(one.tobytes()), part, number))
+                    rest.append((piece, start // 4, n, zlib.crc32(one), part, number))
             kept = batch.select(list(keep)).take(pa.array(row, pa.int32()))
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(list(c), t) for c, t in zip(zip(*rest, strict=True) if rest else [()] * 6, types, strict=True))], names=out.names)
 
-    return docs.select(*keep, "text").mapInArrow(cut_up, out)
+    return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(cut_up, out)
 
 
 def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
