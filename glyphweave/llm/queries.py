@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphweave.llm import embedding, jaccard, lines, mixing, packing, passages, pii, quality, secrets
+from glyphweave.llm import embedding, jaccard, lines, lm, mixing, packing, passages, pii, quality, secrets
 from glyphweave.session import table
 
 
@@ -54,11 +54,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), _tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_secret_scans": op6_secret_scans,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
