@@ -8,6 +8,8 @@
    linked documents part in at most D cells, D by the sizes. A document is replicated to the regions of its first
    D + 1 fragments: linked documents meet in one at least, as an argument by counting shows (see fragments()).
    Documents meet by their size class and, near its upper end, in the next.
+   Within a region, parity sketches part what is provably apart: bit h of a set's sketch is the parity of its elements with hash h, so
+   the bits in which two sketches differ are never more than the elements in which the sets differ.
 3. Recursion. Regions that share documents are joined into one region (their components), which is joined exactly: a
    document becomes pivot, all others' distances to it are taken, those within the radius are linked, and windows around
    earlier pivots (|d(x, p) - d(y, p)| > r excludes x, y) keep pairs apart. Only documents outside the
@@ -41,6 +43,9 @@ from glyphweave.session import cut
 REGION = 4_000_000
 ROUNDS = 12
 WIDER = 1.2
+#: Most documents of a region whose sketches one task compares; larger regions are not thinned before they are joined.
+SKETCHED = 20_000
+LEAST_BITS = 256
 
 
 def _differ(n: int, m: int, num: int, den: int) -> int:
@@ -48,6 +53,52 @@ def _differ(n: int, m: int, num: int, den: int) -> int:
     return (den - num) * (n + m) // (den + num)
 
 
+def _in_class(keys: np.ndarray, c: int) -> np.ndarray:
+    """The low six bits of a region's key are its size class (0: single elements)."""
+    return (keys & ~np.uint64(63)) | np.uint64(c)
+
+
+def parity(u: np.ndarray, num: int, den: int) -> bytes:
+    """The parity sketch of a set: a power of two bits, enough for the largest class in which it has regions."""
+    bits = max(LEAST_BITS, 1 << (len(u) * den // num).bit_length())
+    odd = np.bincount((u >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketch: bytes, bits: int) -> np.ndarray:
+    """A sketch of fewer bits from one of more: halves are laid over each other."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 64 > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _thin(num: int, den: int):
+    """Stars of what may be linked within a region."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("set_id")
+        c = int(pdf["place"].iloc[0]) & 63
+        ids, n = pdf["set_id"].to_numpy(np.int64), pdf["n_shingles"].to_numpy(np.int64)
+        x = np.stack([fold(p, max(LEAST_BITS, 1 << c) if c else LEAST_BITS) for p in pdf["parity"]])
+        root, done = np.arange(len(n)), np.zeros(len(n), bool)
+        while True:
+            todo = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
+            if not len(todo):
+                break
+            p = todo[0]
+            done[p] = True
+            at = np.flatnonzero((root != root[p]) & (den * np.minimum(n, n[p]) >= num * np.maximum(n, n[p])))
+            apart = np.bitwise_count(x[at] ^ x[p]).sum(1, dtype=np.int64)
+            near = at[apart <= (den - num) * (n[at] + n[p]) // (den + num)]
+            root[np.isin(root, root[near])] = root[p]
+        low = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, ids)
+        return pd.DataFrame({"src": ids, "dst": low[root]}).query("src != dst")
+
+    return run
+
+
 def fragments(u: np.ndarray, num: int, den: int) -> np.ndarray:
     """The regions of a set of hashes.
 
@@ -73,9 +124,9 @@ def fragments(u: np.ndarray, num: int, den: int) -> np.ndarray:
         few |= len(starts) <= spoilt
         taken = starts[: spoilt + 1]
         sums = np.add.reduceat(mix(u[order]), starts)[: len(taken)]
-        out.append(mix(sums + mix(cell[taken] * np.uint64(64) + np.uint64(c))))
+        out.append(_in_class(mix(sums + mix(cell[taken] * np.uint64(64) + np.uint64(c))), c))
     if few:
-        out.append(mix(u[: n - -(-num * n // den) + 1] ^ np.uint64(0x5851F42D4C957F2D)))
+        out.append(_in_class(mix(u[: n - -(-num * n // den) + 1] ^ np.uint64(0x5851F42D4C957F2D)), 0))
     return np.unique(np.concatenate(out))
 
 
@@ -89,23 +140,25 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id, regions); a partition names a set's regions once."""
+    """(doc_id, text_key, n_shingles, set_id, regions, parity); a partition gives a set's regions and sketch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            size, ids, regions = [], [], []
+            size, ids, regions, parities = [], [], [], []
             for text in batch.column(2):
                 u = shingles(text.as_py(), n)
                 set_id = xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63)
                 size.append(len(u))
                 ids.append(set_id)
-                regions.append(u[:0] if set_id in seen else fragments(u, num, den))
+                known = set_id in seen or not len(u)
+                regions.append(u[:0] if known else fragments(u, num, den))
+                parities.append(None if known else parity(u, num, den))
                 seen.add(set_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), _lists(regions)], names=["doc_id", "text_key", "n_shingles", "set_id", "regions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), _lists(regions), pa.array(parities, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_id", "regions", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, set_id long, regions array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, set_id long, regions array<long>, parity binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -208,8 +261,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """(doc_id, text_key, n_shingles, component_id, first_key), one row per document; first_key: text_key of the component's first document."""
     rows = cut(sketch(docs, n, num, den))
     at = rows.where(F.size("regions") > 0).select("set_id", F.explode("regions").alias("place"))
-    shared = at.groupBy("place").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("place", "low")
-    met = at.join(shared, "place").where("set_id <> low").select(F.col("set_id").alias("src"), F.col("low").alias("dst"))
+    shared = at.groupBy("place").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("held")).where("low < high").select("place", "low", "held")
+    met = cut(at.join(shared, "place"))
+    sketches = rows.where("parity is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    thin = met.where(F.col("held") <= SKETCHED).select("place", "set_id").join(sketches, "set_id").groupBy("place").applyInPandas(_thin(num, den), "src long, dst long")
+    met = thin.unionByName(met.where((F.col("held") > SKETCHED) & (F.col("set_id") != F.col("low"))).select(F.col("set_id").alias("src"), F.col("low").alias("dst")))
     regions = cut(connected_components(met).select(F.col("node").alias("set_id"), F.col("component").cast("string").alias("region")))
     wanted = rows.join(regions, "set_id").groupBy("set_id", "region").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("set_id", "region", "x.doc_id", "x.text_key")
     links = _links(cut(_sets(docs, wanted, n)), num, den, limit)
