@@ -18,12 +18,12 @@ FIELDS = ("hieroglyphs", "transliteration", "UPOS", "lemmatization", "glossing",
 
 
 def parallel_tokens(corpus: DataFrame) -> DataFrame:
-    """(sent_ord, pos, lemma_id, form, glyph, translit, upos, gloss), lemmas in the lead, missing parts empty; lemma tokens without | are left out."""
+    """(sent_ord, s: the sentence's columns, pos, lemma_id, lemma_form, glyph, translit, upos, gloss), lemmas in the lead, missing parts empty; lemma tokens without | are left out."""
     part = lambda c: F.split(F.trim(F.coalesce(F.col(c), F.lit(""))), tx.ROOM)
-    lists = corpus.select("sent_ord", *[F.col(c) for c in corpus.columns if c != "sent_ord"], part("lemmatization").alias("l"), part("hieroglyphs").alias("g"), part("transliteration").alias("t"), part("UPOS").alias("u"), part("glossing").alias("x"))
+    lists = corpus.select("sent_ord", F.struct(*[c for c in corpus.columns if c != "sent_ord"]).alias("s"), part("lemmatization").alias("l"), part("hieroglyphs").alias("g"), part("transliteration").alias("t"), part("UPOS").alias("u"), part("glossing").alias("x"))
     each = lists.select("*", F.posexplode("l").alias("pos", "lemma")).where(F.col("lemma").contains("|"))
     at = lambda c: F.coalesce(F.get(F.col(c), F.col("pos")), F.lit(""))
-    return each.select(*corpus.columns, "pos", F.substring_index("lemma", "|", 1).alias("lemma_id"), F.expr("substring(lemma, instr(lemma, '|') + 1)").alias("lemma_form"), at("g").alias("glyph"), at("t").alias("translit"), at("u").alias("upos"), at("x").alias("gloss"))
+    return each.select("sent_ord", "s", "pos", F.substring_index("lemma", "|", 1).alias("lemma_id"), F.expr("substring(lemma, instr(lemma, '|') + 1)").alias("lemma_form"), at("g").alias("glyph"), at("t").alias("translit"), at("u").alias("upos"), at("x").alias("gloss"))
 
 
 def build_lexicon(corpus: DataFrame, compat: bool = False) -> DataFrame:
@@ -33,8 +33,8 @@ def build_lexicon(corpus: DataFrame, compat: bool = False) -> DataFrame:
     rows = rows.withColumn("a", a).withColumn("ord", F.struct("sent_ord", "pos"))
     variant = F.struct("glyph", "translit", F.col("a.prefixes").alias("prefixes"), F.col("a.suffixes").alias("suffixes"), tx.mixed_codes(F.col("glyph"), compat).alias("gardiner"), "gloss")
     have = {c.lower() for c in corpus.columns}
-    extra = lambda c: F.col(c) if c.lower() in have else F.lit(None).cast("string")
-    example = F.struct(F.col("hieroglyphs").alias("sentence_hiero"), F.col("transliteration").alias("sentence_translit"), F.col("UPOS").alias("sentence_upos"), extra("glossing").alias("sentence_gloss"), tx.sentence_codes(F.col("hieroglyphs"), compat).alias("sentence_gardiner"), extra("translation").alias("translation"), extra("dateNotBefore").alias("dateNotBefore"), extra("dateNotAfter").alias("dateNotAfter"))
+    extra = lambda c: F.col(f"s.{c}") if c.lower() in have else F.lit(None).cast("string")
+    example = F.struct(F.col("s.hieroglyphs").alias("sentence_hiero"), F.col("s.transliteration").alias("sentence_translit"), F.col("s.UPOS").alias("sentence_upos"), extra("glossing").alias("sentence_gloss"), tx.sentence_codes(F.col("s.hieroglyphs"), compat).alias("sentence_gardiner"), extra("translation").alias("translation"), extra("dateNotBefore").alias("dateNotBefore"), extra("dateNotAfter").alias("dateNotAfter"))
     first_seen = rows.withColumn("variant", variant).groupBy("lemma_id", "variant").agg(F.min("ord").alias("ord"))
     variants = first_seen.groupBy("lemma_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "variant"))), lambda x: x["variant"]).alias("glyph_variants"))
     # a lemma's examples are its own result row; the variants, which a common lemma repeats, are reduced before they are gathered

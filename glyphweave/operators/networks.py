@@ -25,7 +25,7 @@ FAMILY = {"egy": ("egy", "egx-dem", "dem"), "dem": ("egy", "egx-dem", "dem"), "c
 MAIN, ALT, DESC, DERIVED, COMPONENT, ANCESTOR, ATTACHED, DIALECT = range(8)
 
 _text = lambda v=None: F.lit(v).cast("string")
-_none = F.array().cast("array<string>")
+_none = lambda: F.array().cast("array<string>")
 
 
 def _key(*parts) -> Column:
@@ -39,7 +39,7 @@ def _place(producer: int, *at) -> Column:
 
 
 def _node(ord_: Column, id_: Column, language: Column, form: Column, **more: Column) -> list[Column]:
-    base = {"transliteration": form, "hieroglyphs": _text(), "part_of_speech": F.lit("unknown"), "meanings": _none, "period": _text(), "rank": F.lit(999), "dialects": _none, "etymology_index": F.lit(None).cast("int"), "definition_index": F.lit(None).cast("int")} | more
+    base = {"transliteration": form, "hieroglyphs": _text(), "part_of_speech": F.lit("unknown"), "meanings": _none(), "period": _text(), "rank": F.lit(999), "dialects": _none(), "etymology_index": F.lit(None).cast("int"), "definition_index": F.lit(None).cast("int")} | more
     return [F.col("network_id"), ord_.alias("node_ord"), id_.alias("id"), language.alias("language"), form.alias("form"), *[c.alias(k) for k, c in base.items()]]
 
 
@@ -60,7 +60,7 @@ def _rows(senses: DataFrame, language: str) -> DataFrame:
 
 def _mains(rows: DataFrame) -> DataFrame:
     head = lx.head_hieroglyphs(F.col("parameters"))
-    return rows.select(*_node(_place(MAIN, F.col("def_idx")), F.col("main"), F.col("lang"), F.col("lemma"), hieroglyphs=head, part_of_speech=F.coalesce(F.col("part_of_speech"), F.lit("unknown")), meanings=F.coalesce(F.col("meanings"), _none), etymology_index=F.col("etym_idx"), definition_index=F.col("def_idx")))
+    return rows.select(*_node(_place(MAIN, F.col("def_idx")), F.col("main"), F.col("lang"), F.col("lemma"), hieroglyphs=head, part_of_speech=F.coalesce(F.col("part_of_speech"), F.lit("unknown")), meanings=F.coalesce(F.col("meanings"), _none()), etymology_index=F.col("etym_idx"), definition_index=F.col("def_idx")))
 
 
 def _forms(rows: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _components(rows: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFram
     each = each.join(known, "form", "left").withColumn("ok", F.coalesce(F.col("k_ord") < F.col("lemma_ord"), F.lit(False)))
     best = lambda c: F.when(F.col("ok"), F.col(c))
     at, key = _place(COMPONENT, F.lit(0), F.col("i")), _key(F.col("network_id"), "d", F.col("lang"), F.col("form"))
-    nodes = each.select(*_node(at, key, F.col("lang"), F.col("form"), part_of_speech=F.coalesce(best("k_pos"), F.lit("unknown")), meanings=F.coalesce(best("k_meanings"), _none), hieroglyphs=best("k_hiero")))
+    nodes = each.select(*_node(at, key, F.col("lang"), F.col("form"), part_of_speech=F.coalesce(best("k_pos"), F.lit("unknown")), meanings=F.coalesce(best("k_meanings"), _none()), hieroglyphs=best("k_hiero")))
     return nodes, each.select(*_edge(at, key, F.col("main"), "COMPONENT", F.col("c.role")))
 
 
@@ -185,7 +185,7 @@ def _attach(senses: DataFrame, language: str, nodes: DataFrame, roots: DataFrame
     best = scored.groupBy("network_id", "lang", "lemma", "lemma_ord", "etym_idx", "def_idx").agg(F.min_by("c_id", order).alias("parent"), F.first("part_of_speech").alias("part_of_speech"), F.first("meanings").alias("meanings"))
     at = _place(ATTACHED, F.col("def_idx"), F.col("lemma_ord") % 100000, F.col("etym_idx"))
     key = _key(F.col("network_id"), "d", F.col("lang"), F.col("lemma"))
-    out = best.select(*_node(at, key, F.col("lang"), F.col("lemma"), part_of_speech=F.coalesce("part_of_speech", F.lit("unknown")), meanings=F.coalesce("meanings", _none), etymology_index=F.col("etym_idx")))
+    out = best.select(*_node(at, key, F.col("lang"), F.col("lemma"), part_of_speech=F.coalesce("part_of_speech", F.lit("unknown")), meanings=F.coalesce("meanings", _none()), etymology_index=F.col("etym_idx")))
     return out, best.select(*_edge(at, F.col("parent"), key, "DESCENDS", "attested"))
 
 
