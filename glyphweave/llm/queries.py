@@ -71,4 +71,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+_CLOSURE = """l AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(node, other) AS (SELECT DISTINCT a, a FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON l.a = reach.other),
+c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+_FIRST = "ORDER BY words * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+m AS (SELECT sh.doc_id, s, n FROM sh JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS k FROM m a JOIN m b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM p WHERE 100 * k >= 90 * (an + bn - k)), {_CLOSURE}
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = doc_id""",
+    "op2_mixing": f"""
+WITH s AS (SELECT doc_id, source, CAST(len({_WORDS.format(text="text")}) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM s GROUP BY source),
+src AS (SELECT source, words, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM g),
+lev AS (SELECT *, (CAST(sum(words) OVER () AS DOUBLE) * 1.5::DOUBLE - CAST(2 * coalesce(sum(words) OVER ({_FIRST}), 0) AS DOUBLE)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER ({_FIRST}), 0) AS DOUBLE) AS level FROM src),
+t AS (SELECT source, words, CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE least(2.0::DOUBLE * words, (SELECT level FROM lev WHERE level * weight <= 2 * words ORDER BY words * 2.0::DOUBLE / weight, source NULLS LAST LIMIT 1) * weight) END AS target FROM lev),
+r AS (SELECT *, floor(target / greatest(words, 1)) AS certain, target / greatest(words, 1) - floor(target / greatest(words, 1)) AS rest FROM t),
+d AS (SELECT s.*, words, target, certain, rest, target - certain * words AS need, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
+q AS (SELECT *, (u / (1 - u)) / (greatest(least(rest, 1 - 1e-9), 1e-9) / (1 - greatest(least(rest, 1 - 1e-9), 1e-9))) AS rank FROM d),
+o AS (SELECT *, rest > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) <= need AS taken FROM q),
+gap AS (SELECT *, need - coalesce(sum(CASE WHEN taken THEN size END) OVER (PARTITION BY source), 0) AS gap FROM o),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, (NOT taken AND rest > 0 AND size > 0 AND size < 2 * gap) ORDER BY abs(gap - size), rank, doc_id) = 1 AND NOT taken AND rest > 0 AND size > 0 AND size < 2 * gap AS fits FROM gap)
+SELECT doc_id, size, words AS source_size, target, CAST((certain + CASE WHEN taken OR fits THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f""",
+    "op7_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_CLOSURE},
+n AS (SELECT a AS node, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.node = vec_id LEFT JOIN c ON c.node = vec_id""",
+}
