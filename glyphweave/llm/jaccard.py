@@ -73,28 +73,69 @@ def fold(sketch: bytes, bits: int) -> np.ndarray:
     return x
 
 
+def _stars(c: int, ids: np.ndarray, n: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each set of a region (of class c): the smallest id of those with which it may be linked, directly or through others."""
+    bits = max(LEAST_BITS, 1 << c) if c else LEAST_BITS
+    x = np.stack([fold(p, bits) for p in sketches])
+    root, done = np.arange(len(n)), np.zeros(len(n), bool)
+    while True:
+        todo = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
+        if not len(todo):
+            break
+        p = todo[0]
+        done[p] = True
+        at = np.flatnonzero((root != root[p]) & (den * np.minimum(n, n[p]) >= num * np.maximum(n, n[p])))
+        apart = np.bitwise_count(x[at] ^ x[p]).sum(1, dtype=np.int64)
+        near = at[apart <= (den - num) * (n[at] + n[p]) // (den + num)]
+        root[np.isin(root, root[near])] = root[p]
+    low = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, ids)
+    return low[root]
+
+
 def _thin(num: int, den: int):
-    """Stars of what may be linked within a region."""
+    """Over rows (place, set_id, n_shingles, parity) in order of place: the stars of each region. Regions that hold the same sets are settled once a task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set_id")
-        c = int(pdf["place"].iloc[0]) & 63
-        ids, n = pdf["set_id"].to_numpy(np.int64), pdf["n_shingles"].to_numpy(np.int64)
-        x = np.stack([fold(p, max(LEAST_BITS, 1 << c) if c else LEAST_BITS) for p in pdf["parity"]])
-        root, done = np.arange(len(n)), np.zeros(len(n), bool)
-        while True:
-            todo = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
-            if not len(todo):
-                break
-            p = todo[0]
-            done[p] = True
-            at = np.flatnonzero((root != root[p]) & (den * np.minimum(n, n[p]) >= num * np.maximum(n, n[p])))
-            apart = np.bitwise_count(x[at] ^ x[p]).sum(1, dtype=np.int64)
-            near = at[apart <= (den - num) * (n[at] + n[p]) // (den + num)]
-            root[np.isin(root, root[near])] = root[p]
-        low = np.full(len(n), np.iinfo(np.int64).max)
-        np.minimum.at(low, root, ids)
-        return pd.DataFrame({"src": ids, "dst": low[root]}).query("src != dst")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        rest: pa.Table | None = None
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            place, ids, n = (table.column(i).to_numpy() for i in range(3))
+            sketches = table.column(3).combine_chunks()
+            starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            src, dst = [], []
+            for a, b in zip(starts, np.append(starts[1:], len(place)), strict=True):
+                c = int(place[a]) & 63
+                key = xxhash.xxh3_64_intdigest(ids[a:b].tobytes(), c)
+                if key in seen or b - a < 2:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(key)
+                if b - a == 2:  # two sets: one comparison
+                    p, q = (np.frombuffer(sketches[i].as_py(), np.uint64) for i in (a, b - 1))
+                    size = min(len(p), len(q)) * 64
+                    apart = int(np.bitwise_count(fold(p.tobytes(), size) ^ fold(q.tobytes(), size)).sum())
+                    if den * min(n[a], n[b - 1]) >= num * max(n[a], n[b - 1]) and apart <= (den - num) * (n[a] + n[b - 1]) // (den + num):
+                        src.append(ids[a : a + 1])
+                        dst.append(ids[b - 1 : b])
+                    continue
+                low = _stars(c, ids[a:b], n[a:b], [sketches[i].as_py() for i in range(a, b)], num, den)
+                other = low != ids[a:b]
+                src.append(ids[a:b][other])
+                dst.append(low[other])
+            none = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or none)), pa.array(np.concatenate(dst or none))], names=["src", "dst"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            place = table.column(0).to_numpy()
+            last = int(np.searchsorted(place, place[-1])) if len(place) else 0  # the last region may go on in the next batch
+            rest = table.slice(last)
+            if last:
+                yield settle(table.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield settle(rest)
 
     return run
 
@@ -264,7 +305,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     shared = at.groupBy("place").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("held")).where("low < high").select("place", "low", "held")
     met = cut(at.join(shared, "place"))
     sketches = rows.where("parity is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
-    thin = met.where(F.col("held") <= SKETCHED).select("place", "set_id").join(sketches, "set_id").groupBy("place").applyInPandas(_thin(num, den), "src long, dst long")
+    small = met.where(F.col("held") <= SKETCHED).select("place", "set_id").distinct().join(sketches, "set_id")
+    thin = small.repartition("place").sortWithinPartitions("place", "set_id").select("place", "set_id", "n_shingles", "parity").mapInArrow(_thin(num, den), "src long, dst long")
     met = thin.unionByName(met.where((F.col("held") > SKETCHED) & (F.col("set_id") != F.col("low"))).select(F.col("set_id").alias("src"), F.col("low").alias("dst")))
     regions = cut(connected_components(met).select(F.col("node").alias("set_id"), F.col("component").cast("string").alias("region")))
     wanted = rows.join(regions, "set_id").groupBy("set_id", "region").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("set_id", "region", "x.doc_id", "x.text_key")
