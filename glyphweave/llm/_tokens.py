@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 
 _MADE: dict[str, WordIds] = {}
+_PARTS: dict[str, dict[bytes, list[int]]] = {}
 
 
 class WordIds(dict):
@@ -13,8 +15,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and splits there before anything else, so a text's ids are its words' ids in a row
     (tests hold this against whole texts). Words part at the six ASCII spaces only; any other space stays inside its
-    word, where the tokenizer handles it. It also lower-cases, and parts letters from marks: so ASCII words share the ids of
-    their letters whatever their case and the marks that follow. The cache is emptied when it holds `most` words: that
+    word, where the tokenizer handles it. It also lower-cases, and parts letters from marks: so words of letters share the ids of
+    those letters whatever the case of A-Z and the marks that follow. The cache is emptied when it holds `most` words: that
     bounds memory and changes no result. A worker process keeps it from task to task.
     """
 
@@ -34,7 +36,7 @@ class WordIds(dict):
         if len(self) >= self.most:
             self.clear()
         stem = word.rstrip(b".,;:!?")
-        if stem.isalpha() and (stem != word or not stem.islower()):
+        if (stem != word or stem != stem.lower()) and stem.decode().isalpha():
             found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else b"")
         else:
             found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,3 +45,59 @@ class WordIds(dict):
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
+
+
+class WordTable:
+    """Numbers for lower-case words, with each word's hash, ids and what else a caller keeps per word; emptied like WordIds."""
+
+    def __init__(self, path: str, keep, most: int = 400_000):
+        """keep(hashes) gives a row of numbers for each new word."""
+        from tokenizers import Tokenizer
+
+        self.encode, self.keep, self.most = Tokenizer.from_file(path).encode, keep, most
+        self.ids = _PARTS.setdefault(path, {})  # a worker process keeps these from task to task
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.start, self.flat, self.kept = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), None
+
+    def _ids(self, word: bytes) -> list[int]:
+        stem = word.rstrip(b".,;:!?")
+        if stem != word and stem.decode().isalpha():
+            return self._part(stem) + self._part(word[len(stem) :])
+        return self._part(word)
+
+    def _part(self, word: bytes) -> list[int]:
+        found = self.ids.get(word)
+        if found is None:
+            if len(self.ids) > self.most:
+                self.ids.clear()
+            self.ids[word] = found = self.encode(word.decode(), add_special_tokens=False).ids
+        return found
+
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The word numbers of some texts at a time (small ones together: new words are entered once for all)."""
+        if len(self.number) > self.most:
+            self.clear()
+        words = [t.lower().split() for t in texts]
+        new = list(set().union(*words).difference(self.number))
+        if new:
+            first = len(self.number)
+            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            ids = [self._ids(w) for w in new]
+            self.hash = np.concatenate((self.hash, h))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(i) for i in ids])))
+            self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.uint16)))
+            more = self.keep(h)
+            self.kept = more if self.kept is None else np.concatenate((self.kept, more))
+        get = self.number.__getitem__
+        return [np.fromiter(map(get, w), np.int64, len(w)) for w in words]
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        begin = self.start[numbers]
+        n = self.start[numbers + 1] - begin
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(begin - (ends - n), n) + np.arange(total)]
