@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import xxhash
 
 
+def letters_only(stem: bytes) -> bool:
+    """Whether the tokenizer sees letters alone, once it has composed and lower-cased them (a capital may turn into a letter and a mark)."""
+    return unicodedata.normalize("NFC", stem.decode()).lower().isalpha()
+
+
 _MADE: dict[str, WordIds] = {}
 _PARTS: dict[str, dict[bytes, list[int]]] = {}
 
@@ -36,7 +43,7 @@ class WordIds(dict):
         if len(self) >= self.most:
             self.clear()
         stem = word.rstrip(b".,;:!?")
-        if (stem != word or stem != stem.lower()) and stem.decode().isalpha():
+        if (stem != word or stem != stem.lower()) and letters_only(stem):
             found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else b"")
         else:
             found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,7 +71,7 @@ class WordTable:
 
     def _ids(self, word: bytes) -> list[int]:
         stem = word.rstrip(b".,;:!?")
-        if stem != word and stem.decode().isalpha():
+        if stem != word and letters_only(stem):
             return self._part(stem) + self._part(word[len(stem) :])
         return self._part(word)
 
