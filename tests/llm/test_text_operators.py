@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -229,6 +229,7 @@ def test_plan(counts):
 
 
 @settings(max_examples=150, deadline=None)
+@example(["ß", " ", "İ", "!", " ", "A\u0301", ".", " ", "ς", "Σ", "."])
 @given(st.lists(st.sampled_from([*"aBé'st., \t\n\x0b\x1c\x85\xa0\u0301ßİΣ1!<|>𓀀", "<|endoftext|>", "don't", "The."]), max_size=30))
 def test_word_ids(parts):
     text = "".join(parts)
