@@ -9,7 +9,7 @@ more per task than any other.
 
 Edge cases: null text counts as empty (no words: it fails the base rule); null language or source is a group of its
 own; groups with fewer than MIN_GROUP rows use their language's estimate, and languages with fewer use the estimate of
-all rows; when all rows together are fewer than MIN_GROUP, only the base rule decides. Repeated rows are judged alike.
+all rows, each made from all rows of the language or the table; when all rows together are fewer than MIN_GROUP, only the base rule decides. Repeated rows are judged alike.
 Windows and lines are compared by 64-bit hashes within one document.
 """
 
@@ -88,12 +88,16 @@ def _vector(stats: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """The group of each (lang, source): itself, its language or all, by the number of rows."""
+    """For each (lang, source) the level that judges it (itself, its language or all: the finest of MIN_GROUP rows) and the levels its rows are part of, as far as they judge any."""
     n = rows.groupBy("g_lang", "g_source").count()
-    by_lang = n.groupBy("g_lang").agg(F.sum("count").alias("in_lang"))
-    return n.join(by_lang, "g_lang").select(
+    by_lang = n.groupBy("g_lang").agg(F.sum("count").alias("in_lang"), F.max(F.col("count") < MIN_GROUP).alias("lends"))
+    every = by_lang.agg(F.sum("in_lang").alias("in_all"), F.max(F.col("in_lang") < MIN_GROUP).alias("all_lends"))
+    own, lang = F.to_json(F.struct("g_lang", "g_source")), F.to_json(F.struct("g_lang"))
+    levels = F.array(F.when(F.col("count") >= MIN_GROUP, own), F.when(F.col("lends") & (F.col("in_lang") >= MIN_GROUP), lang), F.when(F.col("all_lends") & (F.col("in_all") >= MIN_GROUP), F.lit("{}")))
+    return n.join(by_lang, "g_lang").crossJoin(F.broadcast(every)).select(
         "g_lang", "g_source",
-        F.when(F.col("count") >= MIN_GROUP, F.to_json(F.struct("g_lang", "g_source"))).when(F.col("in_lang") >= MIN_GROUP, F.to_json(F.struct("g_lang"))).otherwise("{}").alias("grp"),
+        F.when(F.col("count") >= MIN_GROUP, own).when(F.col("in_lang") >= MIN_GROUP, lang).otherwise("{}").alias("grp"),
+        F.array_compact(levels).alias("levels"),
     )
 
 
@@ -161,11 +165,11 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     docs = docs.select(*keep, "text", F.coalesce(F.col("lang").cast("string"), F.lit("\u0000")).alias("g_lang"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("g_source"))
     rows = cut(_vector(statistics(docs, [*keep, "g_lang", "g_source"])))
     rows = cut(rows.join(_groups(rows), ["g_lang", "g_source"]))
-    params = cut(_factor(_start(rows)))
+    parts = rows.select(F.explode("levels").alias("grp"), *Z)
+    params = cut(_factor(_start(parts)))
     for _ in range(STEPS):
-        params = cut(_factor(_concentrate(rows, params)))
-    few = rows.groupBy("grp").count().where(F.col("count") >= MIN_GROUP).select("grp")
-    judged = rows.join(params.join(few, "grp", "left_semi"), "grp", "left").withColumn("distance", _distance())
+        params = cut(_factor(_concentrate(parts, params)))
+    judged = rows.join(params, "grp", "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
