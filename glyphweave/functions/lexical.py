@@ -77,7 +77,7 @@ def page_url(form: Column, language: Column) -> Column:
 
 def phonetic_code(code: Column) -> Column:
     """P24."""
-    table = t.mapping(t.phonetic_codes())
+    table = t.mapping(t.PHONETIC)
     return F.coalesce(F.try_element_at(table, code), F.try_element_at(table, F.upper(code)), F.when(code.rlike(r"(?i)^[A-Z]a?a?\d+[A-Za-z]?$"), code))
 
 
@@ -86,7 +86,7 @@ def layout(text: Column, codes: dict[str, str] | None = None) -> Column:
 
     codes: phonetic values to replace; a part that is one, with case as written and else in any case, is replaced.
     """
-    table = codes or t.phonetic_codes()
+    table = codes or t.PHONETIC
     exact, any_case = t.mapping(table), t.mapping({k.lower(): v for k, v in reversed(table.items())})
     name = lambda g: F.coalesce(F.try_element_at(exact, g), F.try_element_at(any_case, F.lower(g)), g)
     parts = lambda x, p: F.filter(F.split(x, p), lambda y: F.trim(y) != "")

@@ -63,6 +63,11 @@ def latest_base(forms: DataFrame, *by: str) -> DataFrame:
     return forms.groupBy(*by).agg(F.coalesce(best, F.min("main")).alias("latest"))
 
 
+def in_period_order(forms: DataFrame, *by: str) -> DataFrame:
+    """Forms with their place by period rank, in source order within a rank."""
+    return forms.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rank", "ord")))
+
+
 def adjacent_variants(mains: DataFrame, *by: str) -> DataFrame:
     """Neighbouring parts of speech of one entry."""
     rows = mains.withColumn("next", F.lead("node").over(Window.partitionBy(*by).orderBy("ord")))

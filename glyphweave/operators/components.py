@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from glyphweave.session import cut
+from glyphweave.session import cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -27,8 +27,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         # Converged once every node has one parent and no parent is a child: then the edges are stars.
         child, parents = new.groupBy("a").agg(F.count("*").alias("n")), new.select(F.col("b").alias("a")).distinct()
         busy = child.where("n > 1").select("a").limit(1).unionAll(child.select("a").join(parents, "a", "left_semi").limit(1))
+        settled = not busy.take(1)
+        release(e)
         e = new
-        if not busy.take(1):
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -47,9 +47,9 @@ def build_lexicon(corpus: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def lexicon_counts(tokens: DataFrame) -> DataFrame:
-    """The lexicon's summary without its lists: (lemma_id, lemma, n_variants, n_examples), by map-side aggregates only."""
-    ord_ = F.struct("sent_ord", "pos")
-    return tokens.groupBy("lemma_id").agg(F.max_by("translit", ord_).alias("lemma"), F.count_distinct("translit").alias("n_variants"), F.count("*").alias("n_examples"))
+    """The lexicon's summary without its lists: (lemma_id, lemma, n_variants, n_examples). Occurrences become a count and a last place per variant first, which combine map-side."""
+    each = tokens.groupBy("lemma_id", "translit").agg(F.count("*").alias("n"), F.max(F.struct("sent_ord", "pos")).alias("last"))
+    return each.groupBy("lemma_id").agg(F.max_by("translit", "last").alias("lemma"), F.count("translit").alias("n_variants"), F.sum("n").alias("n_examples"))
 
 
 def numbered(values: DataFrame, column: str, start: int = 1) -> DataFrame:
@@ -76,12 +76,12 @@ def fallback_text(words: DataFrame, singles: DataFrame, key: str = "word_id") ->
 
 
 def affix_match(words: DataFrame, variants: DataFrame, key: str = "word_id") -> DataFrame:
-    """The first variant whose translit equals, starts or ends the word: an equi-join on all beginnings and ends. Empty translits match nothing."""
+    """The first variant whose translit equals, starts or ends the word: an equi-join on all beginnings and ends. Empty translits match nothing; of variants with equal ordinals the lower translit wins."""
     n = F.sequence(F.lit(1), F.length("word"))
     parts = F.array_distinct(F.concat(F.transform(n, lambda k: F.substring(F.col("word"), F.lit(1), k)), F.transform(n, lambda k: F.substring(F.col("word"), -k, k))))
     each = words.where(F.length("word") > 0).select(key, F.explode(parts).alias("translit"))
     first = variants.where("translit <> ''").groupBy("translit").agg(F.min(F.struct("lemma_ord", "variant_ord", "lemma_id")).alias("m"))
-    best = each.join(first, "translit").groupBy(key).agg(F.min_by(F.struct("m.lemma_id", "translit"), "m").alias("match"))
+    best = each.join(first, "translit").groupBy(key).agg(F.min_by(F.struct("m.lemma_id", "translit"), F.struct("m", "translit")).alias("match"))
     return words.join(best, key, "left")
 
 

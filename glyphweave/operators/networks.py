@@ -33,9 +33,13 @@ def _key(*parts) -> Column:
 
 
 def _place(producer: int, *at) -> Column:
-    """An ordinal that sorts producers, then definitions, then places within them."""
+    """An ordinal that sorts producers, then up to three places: 10^4, 10^7 and 10^6 of them (attached lemmas 10^12, by _attached)."""
     at = [*at, *[F.lit(0)] * (3 - len(at))]
-    return ((F.lit(producer).cast("long") * 1000 + at[0]) * 100000 + at[1]) * 100000 + at[2]
+    return F.lit(producer).cast("long") * 10**18 + at[0] * F.lit(10**13) + at[1] * F.lit(10**6) + at[2]
+
+
+def _attached() -> Column:
+    return F.lit(ATTACHED).cast("long") * 10**18 + F.col("lemma_ord") * F.lit(10**6) + F.col("etym_idx") * 1000 + F.col("def_idx")
 
 
 def _node(ord_: Column, id_: Column, language: Column, form: Column, **more: Column) -> list[Column]:
@@ -147,7 +151,9 @@ def _own(senses: DataFrame, language: str, firsts: DataFrame | None) -> tuple[li
     if forms is not None:
         nodes.append(forms.select(*_node(_place(ALT, F.col("def_idx"), F.col("ord")), F.col("node"), F.col("lang"), F.col("form"), hieroglyphs=F.col("hieroglyphs"), part_of_speech=F.coalesce("part_of_speech", F.lit("unknown")), period=F.col("period"), rank=F.col("rank"), etymology_index=F.col("etym_idx"), definition_index=F.col("def_idx"))))
         chain = ch.evolution_edges(forms, "network_id", "def_idx")
-        edges.append(chain.select(*_edge(_place(ALT, F.col("def_idx"), F.abs(F.hash("from", "to")) % 100000), F.col("from"), F.col("to"), F.col("type"), F.col("notes"))))
+        place = lambda end: forms.select("network_id", "def_idx", F.col("node").alias(end), F.col("ord").alias(f"{end}_ord"))
+        chain = chain.join(place("to"), ["network_id", "def_idx", "to"]).join(place("from"), ["network_id", "def_idx", "from"], "left")
+        edges.append(chain.select(*_edge(_place(ALT, F.col("def_idx"), F.col("to_ord"), F.coalesce(F.col("from_ord") + 1, F.lit(0))), F.col("from"), F.col("to"), F.col("type"), F.col("notes"))))
         latest = rows.select("network_id", "def_idx", "main").join(ch.latest_base(forms, "network_id", "def_idx"), ["network_id", "def_idx"], "left").select("network_id", "def_idx", F.coalesce("latest", "main").alias("latest"))
         for ns, es in (_descendants(rows, latest), _derived(rows)):
             nodes.append(ns)
@@ -173,17 +179,27 @@ def _own(senses: DataFrame, language: str, firsts: DataFrame | None) -> tuple[li
     return nodes, edges
 
 
+def best_match(candidates: DataFrame, *by: str) -> DataFrame:
+    """The best candidate for each entry (by): (by, parent, overlap, part_of_speech, meanings).
+
+    The first with the entry's part of speech; else the first of those that share the most words of their meanings, if any do; else the one of
+    the lowest definition index, a missing one counting as 0. candidates: part_of_speech, meanings, c_id, c_ord, c_pos, c_meanings, c_def.
+    """
+    words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(c, " ")), r"(?U)\s+")), "")
+    rows = candidates.withColumn("overlap", F.when((F.size("meanings") > 0) & (F.size("c_meanings") > 0), F.size(F.array_intersect(words("meanings"), words("c_meanings")))).otherwise(0))
+    other = F.coalesce("part_of_speech", F.lit("unknown")) != F.col("c_pos")
+    order = F.struct(other.alias("a"), F.when(other, -F.col("overlap")).otherwise(0).alias("b"), F.when(other & (F.col("overlap") == 0), F.coalesce("c_def", F.lit(0))).otherwise(0).alias("c"), F.col("c_ord").alias("d"))
+    return rows.groupBy(*by).agg(F.min_by("c_id", order).alias("parent"), F.min_by("overlap", order).alias("overlap"), F.first("part_of_speech").alias("part_of_speech"), F.first("meanings").alias("meanings"))
+
+
 def _attach(senses: DataFrame, language: str, nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lemmas with an Egyptian ancestor join the network of its first etymology, below its best matching node."""
     rows = _rows(senses, language).drop("network_id").withColumn("root", lx.ancestor(F.col("etymology_text"), language)).where("root is not null")
     target = rows.join(roots, "root")
-    words = lambda c: F.array_distinct(F.split(F.lower(F.array_join(c, " ")), r"(?U)\s+"))
     candidates = nodes.where("language = 'egy'").select("network_id", F.col("form").alias("root"), F.col("id").alias("c_id"), F.col("node_ord").alias("c_ord"), F.col("part_of_speech").alias("c_pos"), F.col("meanings").alias("c_meanings"), F.col("definition_index").alias("c_def"))
     scored = target.join(candidates, ["network_id", "root"])
-    overlap = F.when((F.size("meanings") > 0) & (F.size("c_meanings") > 0), F.size(F.array_intersect(words("meanings"), words("c_meanings")))).otherwise(0)
-    order = F.struct((F.coalesce("part_of_speech", F.lit("unknown")) != F.col("c_pos")).alias("a"), (-overlap).alias("b"), F.col("c_def").isNotNull().alias("c"), F.col("c_def").alias("d"), F.col("c_ord").alias("e"))
-    best = scored.groupBy("network_id", "lang", "lemma", "lemma_ord", "etym_idx", "def_idx").agg(F.min_by("c_id", order).alias("parent"), F.first("part_of_speech").alias("part_of_speech"), F.first("meanings").alias("meanings"))
-    at = _place(ATTACHED, F.col("def_idx"), F.col("lemma_ord") % 100000, F.col("etym_idx"))
+    best = best_match(scored, "network_id", "lang", "lemma", "lemma_ord", "etym_idx", "def_idx")
+    at = _attached()
     key = _key(F.col("network_id"), "d", F.col("lang"), F.col("lemma"))
     out = best.select(*_node(at, key, F.col("lang"), F.col("lemma"), part_of_speech=F.coalesce("part_of_speech", F.lit("unknown")), meanings=F.coalesce("meanings", _none()), etymology_index=F.col("etym_idx")))
     return out, best.select(*_edge(at, F.col("parent"), key, "DESCENDS", "attested"))
@@ -214,6 +230,28 @@ def build_networks(senses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return networks, nodes, edges
 
 
+def parsed_entries(nodes: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Nodes, each with the parsed lemma (language, lemma, ...) of its form in its language's family, as the struct entry; null without one.
+
+    All Coptic dialects are one family; of lemmas with one name the last counts. Languages outside the three families have no entries.
+    """
+    family = lambda c: F.when(F.col(c).startswith("cop"), "cop").when(F.col(c).isin("egy", "dem"), F.col(c))
+    rest = [c for c in lemmas.columns if c not in ("language", "lemma")]
+    last = lemmas.groupBy(family("language").alias("__family"), F.col("lemma").alias("__form")).agg(F.max_by(F.struct("language", "lemma", *rest), "lemma_ord").alias("entry"))
+    return nodes.join(last, (family("language") == F.col("__family")) & (F.col("form") == F.col("__form")), "left").drop("__family", "__form")
+
+
+def found_elsewhere(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ids (id), each with the first node of that id in any network (found: network_id and the node's columns); null if no network has it."""
+    first = nodes.groupBy("id").agg(F.min_by(F.struct(*[c for c in nodes.columns if c != "id"]), F.struct("network_id", "node_ord")).alias("found"))
+    return ids.join(first, "id", "left")
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    """Networks, nodes or edges of several builders as one table."""
+    return _all(list(parts))
+
+
 def orphans(senses: DataFrame) -> DataFrame:
     """Demotic and Coptic lemmas whose Egyptian ancestor has no network."""
     known = senses.where("language = 'egy'").select(F.col("lemma").alias("root")).distinct()

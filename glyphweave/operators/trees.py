@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def parents(rows: DataFrame, *by: str, levels: int = 12) -> DataFrame:
-    """rows (by, ord, depth) with parent: the ordinal of the nearest earlier row that is less deep. One window serves all depths below `levels`."""
+def parents(rows: DataFrame, *by: str, levels: int | None = None) -> DataFrame:
+    """rows (by, ord, depth) with parent: the ordinal of the nearest earlier row that is less deep.
+
+    One window serves all depths. levels: how many there are, where known; a deeper row then stops the query. Without it they are counted first.
+    """
+    if levels is None:
+        levels = (rows.agg(F.max("depth")).first()[0] or 0) + 1
+    deep = F.when(F.col("depth") >= levels, F.raise_error(F.lit(f"depth beyond {levels} levels")).cast("int"))
+    rows = rows.withColumn("depth", F.coalesce(deep, F.col("depth")))
     w = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(w).alias(f"__d{d}") for d in range(levels)]
     seen = rows.select("*", *last)

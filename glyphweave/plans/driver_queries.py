@@ -95,7 +95,7 @@ def token_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT lower(split_part(p_type, ' ', 1)) AS translit, min(p_partkey) AS lemma_ord FROM part GROUP BY 1
   UNION ALL SELECT split_part(p_name, ' ', 2), min(p_partkey) FROM part GROUP BY 1),
 w AS (SELECT p_partkey AS word_id, replace(p_name, ' ', '') AS word FROM part)
-SELECT w.word_id, w.word, arg_min(v.translit, v.lemma_ord * 1000 + length(v.translit)) AS translit FROM w LEFT JOIN v ON v.translit <> '' AND (starts_with(w.word, v.translit) OR ends_with(w.word, v.translit)) GROUP BY w.word_id, w.word""")
+SELECT w.word_id, w.word, min(struct_pack(o := v.lemma_ord, n := length(v.translit), t := v.translit)).t AS translit FROM w LEFT JOIN v ON v.translit <> '' AND (starts_with(w.word, v.translit) OR ends_with(w.word, v.translit)) GROUP BY w.word_id, w.word""")
 def prefix_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beginnings and ends, as an equi-join."""
     part = table(spark, sf_dir, "part")
@@ -350,7 +350,7 @@ def tree_from_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.parents(rows, "page_id", levels=4)
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN trim(text) LIKE '%.' THEN 1 ELSE 0 END AS e, length(text) AS n FROM conversations WHERE conv_id % 1 = 0),
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN trim(text) LIKE '%.' THEN 1 ELSE 0 END AS e, length(text) AS n FROM conversations),
 b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM t)
 SELECT conv_id, CAST(block AS BIGINT) AS block, max(turn) AS last_turn, CAST(sum(n) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
 def page_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
     builder = (
@@ -23,14 +27,27 @@ def local_session(cpus: str = "*", shuffle: int = 8, **conf: str) -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is missing (local tests)."""
+    """The folder in spark.checkpoint.dir. Where that is missing, a temporary one on a local master; a cluster must name a folder that all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go as soon as it has run; for plans that run once, since their result is written."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, the plan runs once,
     and lost executors cost no recomputation, since the files are on storage that all executors share."""
@@ -39,8 +56,18 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with passing_shuffles(spark):
+        writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete cut tables of which all readers have run."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        jvm.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

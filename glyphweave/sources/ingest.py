@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from glyphweave.session import cut
+
 CORPUS = "hieroglyphs string, transliteration string, UPOS string, lemmatization string, glossing string, translation string, dateNotBefore string, dateNotAfter string"
 # Languages that can be fetched, and the headings of their sections.
 SECTIONS = {"egyptian": "Egyptian", "demotic": "Demotic", "coptic": "Coptic"}
@@ -116,11 +118,24 @@ def column_text(words: DataFrame) -> DataFrame:
 
 
 def accumulate_pages(pages: DataFrame, first: int = 5, end: str = "}") -> DataFrame:
-    """Pages (page, text) from the first on as blocks that run up to a page that ends in `end`; (block, page: the last, text joined without a separator)."""
+    """Pages (page, text) from the first on as blocks that run up to a page that ends in `end`; (block, page: the last, text joined without a separator).
+
+    Other columns tell books apart.
+    """
+    by = tuple(c for c in pages.columns if c not in ("page", "text"))
     closed = F.col("text").endswith(end).cast("int")
-    w = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # a book's pages: bounded by the book
-    rows = pages.where(F.col("page") >= first).withColumn("text", F.trim("text")).withColumn("block", F.coalesce(F.sum(closed).over(w), F.lit(0)))
-    return rows.groupBy("block").agg(F.max("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "").alias("text"))
+    rows = pages.where(F.col("page") >= first).withColumn("text", F.trim("text"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("block", F.coalesce(F.sum(closed).over(w), F.lit(0)))
+    else:  # one book: blocks are counted within ranges of pages, and the ranges' counts are added up
+        rows = cut(rows.repartitionByRange("page").withColumn("__part", F.spark_partition_id()))
+        n = rows.groupBy("__part").agg(F.sum(closed).alias("__n"))
+        base = n.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+        w = Window.partitionBy("__part").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("block", F.coalesce(F.sum(closed).over(w), F.lit(0))).join(F.broadcast(base), "__part")  # a row for each range
+        rows = rows.withColumn("block", F.col("block") + F.col("__base"))
+    return rows.groupBy(*by, "block").agg(F.max("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -138,13 +153,26 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> Data
 
 
 def upsert_path(spark: SparkSession, path: str, new: DataFrame, key: list[str], version: str) -> None:
-    """K1 on a table: written beside the old one, which is replaced when the new one is whole."""
-    merged = upsert(read_if_there(spark, path, new.schema), new, key, version)
-    merged.write.mode("overwrite").parquet(path + ".next")
+    """K1 on a table: written beside the old one, which gives way when the new one is whole.
+
+    At each moment one of path, path.next (whole, since it bears the success mark) and path.last holds a whole table; what a crash left is set right
+    by the next call.
+    """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(path + ".next"), fs_path(path))
+    at = {k: fs_path(path + k) for k in ("", ".next", ".last")}
+
+    if not fs.exists(at[""]) and fs.exists(fs_path(path + ".next/_SUCCESS")):
+        fs.rename(at[".next"], at[""])
+    elif not fs.exists(at[""]) and fs.exists(at[".last"]):
+        fs.rename(at[".last"], at[""])
+    merged = upsert(read_if_there(spark, path, new.schema), new, key, version)
+    merged.write.mode("overwrite").parquet(path + ".next")
+    if fs.exists(at[""]):
+        fs.delete(at[".last"], True)
+        fs.rename(at[""], at[".last"])
+    fs.rename(at[".next"], at[""])
+    fs.delete(at[".last"], True)
 
 
 def append(df: DataFrame, path: str) -> None:
