@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphweave.llm._shingles import mix, shingles
 from glyphweave.operators.components import connected_components
-from glyphweave.session import cut
+from glyphweave.session import cut, release
 
 #: Shingles that one task may hold of a region.
 REGION = 4_000_000
@@ -304,14 +304,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     at = rows.where(F.size("regions") > 0).select("set_id", F.explode("regions").alias("place"))
     shared = at.groupBy("place").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("held")).where("low < high").select("place", "low", "held")
     met = cut(at.join(shared, "place"))
-    sketches = rows.where("parity is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
-    small = met.where(F.col("held") <= SKETCHED).select("place", "set_id").distinct().join(sketches, "set_id")
+    small = met.where(F.col("held") <= SKETCHED).select("place", "set_id").distinct()
+    # a set's sketch stands once in each partition that holds it; only sets that meet another need theirs
+    sketches = rows.where("parity is not null").select("set_id", "n_shingles", "parity").join(small.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
+    small = small.join(sketches, "set_id")
     thin = small.repartition("place").sortWithinPartitions("place", "set_id").select("place", "set_id", "n_shingles", "parity").mapInArrow(_thin(num, den), "src long, dst long")
-    met = thin.unionByName(met.where((F.col("held") > SKETCHED) & (F.col("set_id") != F.col("low"))).select(F.col("set_id").alias("src"), F.col("low").alias("dst")))
-    regions = cut(connected_components(met).select(F.col("node").alias("set_id"), F.col("component").cast("string").alias("region")))
+    whole = met.where((F.col("held") > SKETCHED) & (F.col("set_id") != F.col("low"))).select(F.col("set_id").alias("src"), F.col("low").alias("dst"))
+    regions = cut(connected_components(thin.unionByName(whole)).select(F.col("node").alias("set_id"), F.col("component").cast("string").alias("region")))
+    release(met)
     wanted = rows.join(regions, "set_id").groupBy("set_id", "region").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("set_id", "region", "x.doc_id", "x.text_key")
-    links = _links(cut(_sets(docs, wanted, n)), num, den, limit)
-    groups = connected_components(links).select(F.col("node").alias("set_id"), "component")
+    sets = cut(_sets(docs, wanted, n))
+    groups = cut(connected_components(_links(sets, num, den, limit)).select(F.col("node").alias("set_id"), "component"))
+    release(sets)
     first = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
     first = first.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     first = cut(first)
