@@ -95,11 +95,16 @@ lev AS (SELECT *, (CAST(sum(words) OVER () AS DOUBLE) * 1.5::DOUBLE - CAST(2 * c
 t AS (SELECT source, words, CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE least(2.0::DOUBLE * words, (SELECT level FROM lev WHERE level * weight <= 2 * words ORDER BY words * 2.0::DOUBLE / weight, source NULLS LAST LIMIT 1) * weight) END AS target FROM lev),
 r AS (SELECT *, floor(target / greatest(words, 1)) AS certain, target / greatest(words, 1) - floor(target / greatest(words, 1)) AS rest FROM t),
 d AS (SELECT s.*, words, target, certain, rest, target - certain * words AS need, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
-q AS (SELECT *, (u / (1 - u)) / (greatest(least(rest, 1 - 1e-9), 1e-9) / (1 - greatest(least(rest, 1 - 1e-9), 1e-9))) AS rank FROM d),
-o AS (SELECT *, rest > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) <= need AS taken FROM q),
-gap AS (SELECT *, need - coalesce(sum(CASE WHEN taken THEN size END) OVER (PARTITION BY source), 0) AS gap FROM o),
-f AS (SELECT *, row_number() OVER (PARTITION BY source, (NOT taken AND rest > 0 AND size > 0 AND size < 2 * gap) ORDER BY abs(gap - size), rank, doc_id) = 1 AND NOT taken AND rest > 0 AND size > 0 AND size < 2 * gap AS fits FROM gap)
-SELECT doc_id, size, words AS source_size, target, CAST((certain + CASE WHEN taken OR fits THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f""",
+e AS (SELECT *, greatest(CAST(round(64 * ln(size + 2)) AS BIGINT), 1) AS weight FROM d),
+k AS (SELECT source, weight, need, CAST(sum(size) AS BIGINT) AS w FROM e WHERE rest > 0 GROUP BY source, weight, need),
+f AS (SELECT *, (need - coalesce(sum(w) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(weight * w) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale FROM k),
+z AS (SELECT source, arg_max(scale, weight) AS scale FROM f WHERE scale * weight <= 1 GROUP BY source),
+q AS (SELECT e.*, CASE WHEN scale * weight >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (scale * weight / (1 - scale * weight)) END AS rank FROM e LEFT JOIN z ON e.source IS NOT DISTINCT FROM z.source),
+g2 AS (SELECT source, list_reduce(list_prepend({{'gap': any_value(need), 'ids': []::BIGINT[]}}, list({{'gap': size::DOUBLE, 'ids': [doc_id]::BIGINT[]}} ORDER BY rank, doc_id)),
+  lambda a, x: CASE WHEN x.gap <= a.gap THEN {{'gap': a.gap - x.gap, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS fold FROM q WHERE rest > 0 AND size > 0 GROUP BY source),
+o AS (SELECT q.*, coalesce(list_contains(fold.ids, doc_id), false) AS taken, fold.gap AS gap FROM q LEFT JOIN g2 ON q.source IS NOT DISTINCT FROM g2.source),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY source, (NOT taken AND size > 0 AND size < 2 * gap) ORDER BY abs(gap - size), rank, doc_id) = 1 AND NOT taken AND size > 0 AND size < 2 * gap AS fits FROM o)
+SELECT doc_id, size, words AS source_size, target, CAST((certain + CASE WHEN taken OR coalesce(fits, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f2""",
     "op7_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_CLOSURE},
