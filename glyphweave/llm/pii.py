@@ -1,15 +1,16 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
-E-mail addresses, telephone, card, account and social security numbers, IPv4 addresses and dates are found by one
+E-mail addresses, telephone, card, bank account (IBAN) and social security numbers, IPv4 and IPv6 addresses and dates are found by one
 pattern, validated, and permuted within their format under a key: digits give digits, letters letters of the same
-case, an address four octets, a date a date in the same notation, a number that passes the Luhn test another that does.
+case, an address four octets or eight groups, a date a date in the same notation, a number that passes the Luhn test or has right check digits another that does.
 Each value is put into one canonical form first (the digits of a number, the day of a date), and the permutation works on
 that: so equal values get equal pseudonyms in all documents and all notations, unlike values unlike ones. Nothing is
 looked up or gathered; every row is rewritten by itself, on DataFrame functions.
 
 Edge cases: null and empty texts stay; text without personal data stays as it is, to the letter; ties and repeated rows get equal pseudonyms;
 other columns are kept, but for
-those named as the counts. What fails its validation (Luhn test, calendar, octets) is left as it is, and so is a date outside DAY_ONE + DAYS.
+those named as the counts. What fails its validation (Luhn test, check digits, calendar, octets) is left as it is, and so is a date outside DAY_ONE + DAYS.
+Ten digits in a row are a telephone number unless they start with 0 or 1. Of a local part in another script each character stays within its sixteen neighbours.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphweave.llm._expr import let
 
-KINDS = ("email", "phone", "ssn", "card", "ip", "date")
+KINDS = ("email", "phone", "ssn", "card", "ip", "date", "iban", "ipv6")
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?|(?<!\+)\([0-9]{3}\)[ .-]?|\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-]|[0-9]{3}[.-](?=[0-9]{3}[.-][0-9]{4}(?![0-9])))[0-9]{3,4}[ .-]?[0-9]{3,4}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?|(?<!\+)\([0-9]{3}\)[ .-]?|\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-]|[0-9]{3}[.-](?=[0-9]{3}[.-][0-9]{4}(?![0-9]))|[2-9][0-9]{2}[ ](?=[0-9]{3}[ ][0-9]{4}(?![0-9]))|[2-9][0-9]{2}(?=[0-9]{7}(?![0-9A-Za-z]|[.,-][0-9])))[0-9]{3,4}[ .-]?[0-9]{3,4}",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "ip": rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.[0-9])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})",
+    "date": rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9]{{2}}:|{_END})|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}{_END}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}{_END}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}{_END})",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)",
+    "ipv6": rf"(?<![:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![:.]?[0-9A-Fa-f:])",
 }
 #: In the order of KINDS, but card numbers last: what another kind fits is not taken for one.
-PATTERN = "(?:" + "|".join(("" if k in ("email", "phone") else _EDGE) + ("(?<![0-9A-Za-z+(])" if k == "phone" else "") + PATTERNS[k] + _END for k in ("email", "phone", "ip", "date", "ssn", "card")) + ")"
+PATTERN = "(?:" + "|".join(("" if k in ("email", "phone") else _EDGE) + ("(?<![0-9A-Za-z+(])" if k == "phone" else "") + PATTERNS[k] + ("" if k in ("date", "ipv6") else _END) for k in ("email", "iban", "ipv6", "phone", "ip", "date", "ssn", "card")) + ")"
 ROUNDS = 8
 DAY_ONE, SIDE = "1850-01-01", 316
 DAYS = SIDE * SIDE
@@ -42,7 +48,10 @@ def _prf(key: str, *parts: Column) -> Column:
 
 
 def feistel_text(value: Column, key: str) -> Column:
-    """Permute a string's digits and ASCII letters, each within its class; case doesn't matter to the permutation, other characters stay."""
+    """Permute a string's digits and letters: ASCII ones each within its class, others of the basic plane within their sixteen neighbours; other characters stay.
+
+    The case of ASCII letters doesn't matter to the permutation.
+    """
 
     def shifted(half: Column, other: Column, r: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -50,6 +59,9 @@ def feistel_text(value: Column, key: str) -> Column:
             out = F.lit(None).cast("string")
             for low, high, start, size in (("0", "9", 48, 10), ("a", "z", 97, 26), ("A", "Z", 65, 26)):
                 out = F.when((c >= low) & (c <= high), F.chr((F.ascii(c) - start + move) % size + start)).otherwise(out)
+            place = F.ascii(c)
+            moved = place - place % 16 + (place + move) % 16
+            out = F.when((place >= 0x80) & (place < 0xD800), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE")).otherwise(out)
             return F.coalesce(out, c)
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
@@ -110,15 +122,73 @@ def _ip(m: Column, key: str) -> Column:
     return let(feistel_number(whole, 65536, key + "/ip"), lambda n: F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)]))
 
 
+def feistel_hex(value: Column, key: str) -> Column:
+    """Permute strings of 32 lower-case hexadecimal digits."""
+    halves = F.struct(F.substring(value, 1, 16).alias("a"), F.substring(value, 17, 16).alias("b"))
+
+    def shifted(half: Column, other: Column, r: Column) -> Column:
+        pad = F.substring(F.sha2(F.concat_ws("|", F.lit(key), r.cast("string"), other), 256), 1, 16)
+        number = lambda x: F.conv(x, 16, -10).cast("long")
+        return F.lower(F.lpad(F.hex(number(half).bitwiseXOR(number(pad))), 16, "0"))
+
+    rounds = F.array(*[F.lit(r) for r in range(ROUNDS)])
+    return F.aggregate(rounds, halves, lambda s, r: F.struct(s["b"].alias("a"), shifted(s["a"], s["b"], r).alias("b")), lambda s: F.concat(s["a"], s["b"]))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    """All eight groups in full: an address in whatever notation is one value."""
+    groups = lambda x: F.transform(F.filter(F.split(x, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    sides = F.split(m, "::")
+    left, right = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    whole = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right), "")
+    return let(feistel_hex(whole, key + "/ipv6"), lambda x: F.concat_ws(":", *[F.substring(x, 4 * k + 1, 4) for k in range(8)]))
+
+
+def remainder97(number: Column) -> Column:
+    """The remainder by 97 of a string in which letters count 10 to 35."""
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when((c >= "A") & (c <= "Z"), (acc * 100 + F.ascii(c) - 55) % 97).otherwise((acc * 10 + F.ascii(c) - 48) % 97)
+
+    return F.aggregate(F.split(number, ""), F.lit(0), step)
+
+
+def _account(m: Column) -> Column:
+    """What the check digits of an account number are made from: number, country, check digits."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    return F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The country stays, the account is permuted, the check digits follow."""
+
+    def new(plain: Column) -> Column:
+        country = F.substring(plain, 1, 2)
+        account = feistel_text(F.substring(plain, F.lit(5), F.length(plain)), key + "/iban")
+        return let(account, lambda a: F.concat(country, F.lpad((98 - remainder97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+
+    spaced = lambda x: F.trim(F.regexp_replace(x, "(.{4})", "$1 "))
+    return let(new(F.replace(m, F.lit(" "), F.lit(""))), lambda x: F.when(m.contains(" "), spaced(x)).otherwise(x))
+
+
+def _parts(m: Column) -> Column:
+    """A date with a month's name as numbers: day, month and year, parted by dots."""
+    number = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("string")
+    words = F.split(F.replace(m, F.lit(","), F.lit("")), " ")
+    first, second, year = (F.get(words, F.lit(k)) for k in range(3))
+    day, month = F.when(m.rlike("^[0-9]"), first).otherwise(second), F.when(m.rlike("^[0-9]"), second).otherwise(first)
+    return F.when(m.rlike("[a-z]"), F.concat_ws(".", day, number(month), year)).otherwise(m)
+
+
 def _day(m: Column) -> Column:
     """The days from DAY_ONE to a date; null if it is none or out of range.
 
-    Year first, or day first if dots part it and month first if strokes do (the other order where only that is a date).
+    Year first if it stands first, else day first if dots or hyphens part it and month first if strokes do (the other order where only that is a date).
     """
 
     def day_of(p: Column) -> Column:
         num = lambda k: F.get(p, F.lit(k)).cast("int")
-        iso, dots = m.contains("-"), m.contains(".")
+        iso, dots = F.length(F.get(p, F.lit(0))) == 4, ~m.contains("/")
         year = F.when(iso, num(0)).otherwise(num(2))
         swap = ~iso & F.when(dots, num(1) > 12).otherwise(num(0) <= 12)
         month = F.when(iso, num(1)).when(swap, num(0)).otherwise(num(1))
@@ -128,26 +198,31 @@ def _day(m: Column) -> Column:
         at = F.datediff(first, F.lit(DAY_ONE).cast("date")) + day - 1
         return F.when((day <= F.day(F.last_day(first))) & (at < DAYS), at)
 
-    return let(F.split(m, "[./-]"), day_of)
+    return let(F.split(_parts(m), "[./-]"), day_of)
 
 
 def _date(m: Column, key: str) -> Column:
     to = F.date_add(F.lit(DAY_ONE).cast("date"), feistel_number(_day(m), SIDE, key + "/date").cast("int"))
-    return F.when(m.contains("-"), F.date_format(to, "yyyy-MM-dd")).when(m.contains("."), F.date_format(to, "dd.MM.yyyy")).otherwise(F.date_format(to, "MM/dd/yyyy"))
+    forms = ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"\.", "dd.MM.yyyy"), ("-", "dd-MM-yyyy"), ("/", "MM/dd/yyyy"), ("^[0-9]", "d MMMM yyyy"))
+    out = F.date_format(to, "MMMM d, yyyy")
+    for pattern, form in reversed(forms):
+        out = F.when(m.rlike(pattern), F.date_format(to, form)).otherwise(out)
+    return out
 
 
 def _kind(m: Column) -> Column:
-    """The kind of a match; none where a card number fails the Luhn test or a date is no date."""
+    """The kind of a match; none where a card number fails the Luhn test, an account its check digits, or a date is no date."""
+    valid = {"date": _day(m).isNotNull(), "iban": remainder97(_account(m)) == 1}
     out = F.when(luhn(digits(m)) % 10 == 0, F.lit("card")).otherwise("none")
-    for k in ("ssn", "date", "ip", "phone", "email"):
-        out = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.when(_day(m).isNotNull(), F.lit(k)).otherwise("none") if k == "date" else F.lit(k)).otherwise(out)
+    for k in ("ssn", "date", "ip", "phone", "ipv6", "iban", "email"):
+        out = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.when(valid[k], F.lit(k)).otherwise("none") if k in valid else F.lit(k)).otherwise(out)
     return out
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     email = F.concat(feistel_text(F.substring_index(m, "@", 1), key + "/email"), F.lit("@"), F.substring_index(m, "@", -1))
     plain = _refill(m, let(digits(m), lambda d: feistel_text(d, key + "/ssn")))
-    return F.when(kind == "email", email).when(kind == "phone", _phone(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", plain).when(kind == "card", _card(m, key)).otherwise(m)
+    return F.when(kind == "email", email).when(kind == "phone", _phone(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", plain).when(kind == "card", _card(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ipv6", _ipv6(m, key)).otherwise(m)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
