@@ -6,12 +6,12 @@ CLASSES classes of ids, and within its class an id has its corpus frequency: tog
 all ids. Windows overlap by CONTEXT - STRIDE ids, which a later window only reads, so each id is scored once and with
 context; windows of many texts go through one batched masked attention.
 
-What is learnt from the corpus: word counts (for the base score), id counts and classes from all training texts, and
-the weights from windows at a fixed rate of all training texts (one a text at least), so that training grows with the input.
-Windows are dealt to trainers, their number by the number of windows; each runs Adagrad from the common weights, and the
-results are averaged in a tree, weighted by windows, ROUNDS times.
+What is learnt from the corpus: word counts (for the base score), id counts and classes, and the weights, from all ids of all
+training texts: each is the target of one training window, so that training grows with the input. Every partition of the
+ids is a trainer that runs Adagrad over its windows from the common weights, batch by batch; the results are averaged in a tree, ROUNDS times,
+each round over its share of the windows. A vector of an id is averaged by how often each trainer met the id, all else by windows.
 
-The base score needs counts of all words, of which there is no bound: the HOT most frequent ones (a fixed number) go to
+The base score needs counts of all words, of which there is no bound: the HOT most frequent ones (at most a fixed number, by a threshold from a histogram of counts) go to
 the tasks, and only the other words' occurrences meet their counts in a join.
 
 Edge cases: null and blank texts are one end token; repeated rows are scored each; a null doc_id counts as empty text for the
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphweave.llm._tokens import WordTable
 from glyphweave.session import cut
@@ -37,7 +38,7 @@ CONTEXT, STRIDE, WIDTH, CLASSES = 16, 12, 16, 64
 VOCABULARY, END = 49_408, 49_407
 ALONE = 40
 HOT = 200_000
-EVERY, ROUNDS, BATCH, RATE = 512, 2, 32, 0.1
+ROUNDS, BATCH, RATE = 2, 128, 0.1
 #: Stands for the end token among the hashes of words.
 END_WORD = 7
 
@@ -67,8 +68,8 @@ _MASK = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 def attend(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """For windows of ids: the output of the layer, and what training needs of the way there. Scores are bounded, so no maximum is taken off."""
     x = w["E"][ids] + w["P"]
-    q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
+    q, k, v = np.split(x @ np.hstack((w["Q"], w["K"], w["V"])), 3, -1)
+    s = np.matmul(q * np.float32(WIDTH**-0.5), k.transpose(0, 2, 1))
     np.clip(s, -30, 30, out=s)
     np.exp(s, out=s)
     s *= _MASK
@@ -86,29 +87,35 @@ def class_log(w: dict[str, np.ndarray], y: np.ndarray, target: np.ndarray) -> np
     return hit - np.log(z.sum(-1))
 
 
-def train(w: dict[str, np.ndarray], ids: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
-    """One Adagrad pass over windows of CONTEXT + 1 ids."""
-    grown = {k: np.full(v.shape if k != "E" else (len(v), 1), 1e-3, np.float32) for k, v in w.items()}
-    for at in range(0, len(ids), BATCH):
-        part = ids[at : at + BATCH]
-        source, target = part[:, :-1], classes[part[:, 1:]]
+class Trainer:
+    """Adagrad over windows, whose number need not be known: weights, and how often each id was met."""
+
+    def __init__(self, w: dict[str, np.ndarray], classes: np.ndarray):
+        self.w, self.classes = w, classes
+        self.grown = {k: np.full(v.shape if k != "E" else (len(v), 1), 1e-3, np.float32) for k, v in w.items()}
+        self.met, self.windows = np.zeros(len(w["E"]), np.int64), 0
+
+    def step(self, source: np.ndarray, target: np.ndarray, real: np.ndarray) -> None:
+        """One batch: windows of ids, the ids that follow them, and which of these are no padding."""
+        w, grown = self.w, self.grown
         y, x, q, k, v, s, o = attend(w, source)
-        z = np.clip(y @ w["U"] + w["b"], -30, 30)
-        z = np.exp(z - z.max(-1, keepdims=True))
-        z /= z.sum(-1, keepdims=True)
-        np.put_along_axis(z, target[..., None], np.take_along_axis(z, target[..., None], -1) - 1, -1)
-        z /= np.float32(target.size)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(y).T @ flat(z), "b": z.sum((0, 1))}
-        dy = z @ w["U"].T
+        z = flat(y) @ w["U"] + w["b"]
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(-1, keepdims=True)
+        z[np.arange(len(z)), self.classes[target.ravel()]] -= 1
+        z *= (real.ravel() / np.float32(max(1, real.sum())))[:, None]
+        g = {"U": flat(y).T @ z, "b": z.sum(0)}
+        dy = (z @ w["U"].T).reshape(y.shape)
         g["O"] = flat(o).T @ flat(dy)
         do = dy @ w["O"].T
         ds = np.matmul(do, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), do)
         ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dy + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
+        back = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv), -1)
+        g["Q"], g["K"], g["V"] = np.split(flat(x).T @ flat(back), 3, -1)
+        dx = dy + back @ np.hstack((w["Q"], w["K"], w["V"])).T
         g["P"] = dx.sum(0)
         for name, d in g.items():
             grown[name] += d * d
@@ -120,7 +127,30 @@ def train(w: dict[str, np.ndarray], ids: np.ndarray, classes: np.ndarray) -> dic
         rows = which[first]
         grown["E"][rows] += (d * d).mean(-1, keepdims=True)
         w["E"][rows] -= np.float32(RATE) * d / np.sqrt(grown["E"][rows])
-    return w
+        self.met[rows] += np.diff(np.append(first, len(which)))
+        self.windows += len(source)
+
+
+def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, target, real) over texts of ids: every id and the end of each text are the target of one window; short windows are padded."""
+    n = np.array([len(t) + 1 for t in texts], np.int64)
+    line = np.concatenate([np.concatenate((np.array([END]), t)) for t in texts] + [np.full(1, END)]).astype(np.int64)
+    begin, parts = np.cumsum(n) - n, -(-n // CONTEXT)
+    owner = np.repeat(np.arange(len(n)), parts)
+    at = (begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * CONTEXT)[:, None] + np.arange(CONTEXT)
+    real = at < (begin + n)[owner][:, None]
+    at = np.where(real, at, 0)
+    return np.where(real, line[at], END), line[at + 1], real
+
+
+def train(w: dict[str, np.ndarray], texts: list[np.ndarray], classes: np.ndarray) -> dict[str, np.ndarray]:
+    """One pass over the windows of texts."""
+    trainer = Trainer(w, classes)
+    source, target, real = windows_of(texts)
+    for at in range(0, len(source), BATCH):
+        part = slice(at, at + BATCH)
+        trainer.step(source[part], target[part], real[part])
+    return trainer.w
 
 
 def score_texts(w: dict[str, np.ndarray], classes: np.ndarray, within: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
@@ -183,10 +213,10 @@ def _count_words(docs: DataFrame) -> DataFrame:
 
 
 def _read(docs: DataFrame, tokenizer: str, hot: bytes) -> DataFrame:
-    """A row for each text: its ids, the base score's part from hot words, and its other words; ids of training windows; and rows of id counts (row null)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "s_hot", "rare", "rare_n", "ids", "windows"]
-    shape = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, s_hot double, rare array<long>, rare_n array<int>, ids binary, windows binary"
+    """A row for each text: its ids, the base score's part from hot words, and its other words; and rows of id counts (row null)."""
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "s_hot", "rare", "rare_n", "ids"]
+    shape = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, s_hot double, rare array<long>, rare_n array<int>, ids binary"
     sent = docs.sparkSession.sparkContext.broadcast(hot)  # HOT * 16 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +232,7 @@ def _read(docs: DataFrame, tokenizer: str, hot: bytes) -> DataFrame:
 
         words, row, tally = WordTable(tokenizer, known), TaskContext.get().partitionId() << 36, np.zeros(VOCABULARY, np.int64)
         end = float(known(np.array([END_WORD], np.uint64))[0])
-        types = (pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        types = (pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         for whole in batches:
             for part in range(0, whole.num_rows, 256):
                 batch = whole.slice(part, 256)
@@ -218,75 +248,94 @@ def _read(docs: DataFrame, tokenizer: str, hot: bytes) -> DataFrame:
                     else:
                         n_hot, s_hot = n_hot + 1, s_hot + end
                     ids = words.ids_of(numbers)
-                    windows = b""
                     if not held:
-                        np.add.at(tally, ids, 1)
+                        tally += np.bincount(ids, minlength=VOCABULARY)
                         tally[END] += 1
-                        line = np.concatenate(([END], ids, [END])).astype(np.uint16)
-                        # one window in EVERY ids, from a place that depends on the text
-                        step, last = xxhash.xxh32_intdigest(raw[:64]) % EVERY, len(line) - CONTEXT - 1
-                        starts = range(min(step, max(last, 0)), last + 1, EVERY) if last >= 0 else ()
-                        windows = b"".join(line[s : s + CONTEXT + 1].tobytes() for s in starts)
-                    rows.append((row, held, len(numbers) + 1, n_hot, s_hot, rare.view(np.int64), n.astype(np.int32), ids.tobytes(), windows))
+                    rows.append((row, held, len(numbers) + 1, n_hot, s_hot, rare.view(np.int64), n.astype(np.int32), ids.tobytes()))
                     row += 1
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
                 arrays = [pa.array(list(c), t) for c, t in zip(cols, [t for i, t in enumerate(types) if i != 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([arrays[0], batch.column(0), *arrays[1:]], names=names)
         got = np.flatnonzero(tally)
         blank = [pa.nulls(1, t) for t in types if t is not None]
-        first = pa.nulls(1, _arrow(kind))
+        first = pa.nulls(1, id_type)
         counts = [pa.array([got.tolist()], pa.list_(pa.int64())), pa.array([tally[got].astype(np.int32).tolist()], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([blank[0], first, *blank[1:5], *counts, *blank[7:]], names=names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, shape)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+TRAINED = "trainer long, windows long, met binary, weights binary"
+
+
+def _mean(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+    """(windows, met, weights) of several trainers as one; ids that none met keep their vector."""
+    total, met, dense, ids = 0, 0, None, 0
+    for n, seen, weights in parts:
+        w, m = unpacked(weights), np.frombuffer(seen, np.int64)
+        ids = ids + w.pop("E").astype(np.float64) * np.maximum(m, 1e-9)[:, None]
+        total, met = total + n, met + m
+        dense = {k: v.astype(np.float64) * n + (dense[k] if dense else 0) for k, v in w.items()}
+    floor = sum(np.maximum(np.frombuffer(seen, np.int64), 1e-9) for _, seen, _ in parts)
+    out = {k: v / max(total, 1) for k, v in dense.items()} | {"E": ids / floor[:, None]}
+    return total, met.astype(np.int64).tobytes(), packed(out)
 
 
 def _average(rows: DataFrame, fan: int = 16) -> bytes:
-    """Weighted mean of (trainer, windows, weights), fan rows at a time."""
+    """The trainers' weights as one, fan rows at a time."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["windows"].to_numpy(np.float64)
-        total = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, pdf["weights"], strict=True))
-        return pd.DataFrame({"trainer": [int(pdf["trainer"].min()) // fan], "windows": [int(n.sum())], "weights": [(total / n.sum()).astype(np.float32).tobytes()]})
+        n, met, weights = _mean(list(zip(pdf["windows"].tolist(), pdf["met"], pdf["weights"], strict=True)))
+        return pd.DataFrame({"trainer": [int(pdf["trainer"].min()) // fan], "windows": [n], "met": [met], "weights": [weights]})
 
     left = rows.count()
     while left > 1:
-        rows = cut(rows.groupBy(F.floor(F.col("trainer") / fan).alias("g")).applyInPandas(mean, "trainer long, windows long, weights binary"))
+        rows = cut(rows.groupBy(F.floor(F.col("trainer") / fan).alias("g")).applyInPandas(mean, TRAINED))
         left = rows.count()
     found = rows.take(1)
     return bytes(found[0].weights) if found else b""
 
 
-def _learner(sent, turn: int):
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, cls = sent.value
-        ids = np.frombuffer(b"".join(pdf.sort_values("row")["windows"]), np.uint16).reshape(-1, CONTEXT + 1).astype(np.int64)
-        ids = ids[np.random.default_rng(turn).permutation(len(ids))]
-        return pd.DataFrame({"trainer": [int(pdf["trainer"].iloc[0])], "windows": [len(ids)], "weights": [packed(train(unpacked(data), ids, cls))]})
-
-    return learn
-
-
 def fit(seen: DataFrame, classes: np.ndarray, tally: np.ndarray) -> bytes:
-    """Weights after ROUNDS of training and averaging over the windows of seen."""
+    """Weights after ROUNDS of training and averaging over the ids of seen (held_out, ids)."""
     spark = seen.sparkSession
-    windows = seen.where("length(windows) > 0").select("row", "windows")
-    total = windows.agg(F.sum(F.length("windows"))).first()[0] or 0
-    trainers = int(min(4096, max(1, total // (2 * (CONTEXT + 1) * 16000))))
-    dealt = cut(windows.withColumn("trainer", F.pmod(F.xxhash64("row"), F.lit(trainers))).repartition(trainers, "trainer"))
     share = np.bincount(classes, tally + 0.5, CLASSES)
     weights = packed(start_weights(share / share.sum()))
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((weights, classes))
 
-        weights = _average(cut(dealt.groupBy("trainer").applyInPandas(_learner(sent, turn), "trainer long, windows long, weights binary"))) or weights
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            data, cls = sent.value
+            trainer = Trainer(unpacked(data), cls)
+            for batch in batches:
+                ids = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)]
+                ends = np.cumsum([len(x) for x in ids]) // 200_000  # some texts at a time, so that memory is bounded by a batch's or a text's ids
+                for k in np.unique(ends):
+                    source, target, real = windows_of([ids[i] for i in np.flatnonzero(ends == k)])
+                    mine = np.random.default_rng(int(k)).permutation(len(source))
+                    mine = mine[mine % ROUNDS == turn]
+                    for at in range(0, len(mine), BATCH):
+                        part = mine[at : at + BATCH]
+                        trainer.step(source[part], target[part], real[part])
+            if trainer.windows:
+                out = [[TaskContext.get().partitionId()], [trainer.windows], [trainer.met.tobytes()], [packed(trainer.w)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["trainer", "windows", "met", "weights"])
+
+        weights = _average(cut(seen.where("not held_out").select("ids").mapInArrow(learn, TRAINED))) or weights
     return weights
 
 
+def _most_frequent(counts: DataFrame) -> pd.DataFrame:
+    """(h, c) of the most frequent words, HOT at most: those above a count that a histogram (exact up to 4096, by sixteenths of a power of two beyond) puts at HOT words."""
+    level = F.when(F.col("c") < 4096, F.col("c").cast("int")).otherwise((4096 + F.floor(16 * F.log2(F.col("c") / 4096))).cast("int"))
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).toPandas()  # some thousand rows
+    fits = bins[bins["n"].cumsum() <= HOT]
+    least = int(fits["least"].min()) if len(fits) else np.iinfo(np.int64).max
+    return counts.where(F.col("c") >= least).select("h", "c").toPandas()
+
+
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document."""
     spark = docs.sparkSession
@@ -294,7 +343,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     docs = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts = cut(_count_words(docs))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = counts.orderBy(F.desc("c"), "h").limit(HOT).toPandas()
+    hot = _most_frequent(counts)
     keys = hot["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     table = np.stack((keys[order].view(np.int64), hot["c"].to_numpy(np.int64)[order]))

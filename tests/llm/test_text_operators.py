@@ -184,10 +184,30 @@ def test_mixing(docs, empty):
 
 
 def test_mixing_chances(spark):
-    """Over many ids, a source's documents are taken at their inclusion probability, whatever their size."""
-    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'b'").groupBy("size").agg(F.avg("copies").alias("a")).collect()
-    assert all(abs(r.a - 4830.8 / 4997) < 0.05 for r in out)
+    """Over many ids, documents are taken at their own inclusion probability, which grows with their size; a document that is certain is always taken."""
+    sizes = [1, 3, 9, 27, 81, 243]
+    rows = [(i, "w " * sizes[i // 3 % 6], "abc"[i % 3]) for i in range(36_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'c'").groupBy("size").agg(F.avg("copies").alias("a"), F.first("target").alias("target"), F.first("source_size").alias("words")).collect()
+    weight = {n: max(1, round(64 * math.log(n + 2))) for n in sizes}
+    per = out[0].words / sum(sizes)
+    need, certain, full = out[0].target - out[0].target // out[0].words * out[0].words, out[0].target // out[0].words, set()
+    while True:
+        scale = (need - per * sum(full)) / (per * sum(n * weight[n] for n in sizes if n not in full))
+        over = {n for n in sizes if n not in full and scale * weight[n] > 1}
+        if not over:
+            break
+        full |= over
+    p = {n: 1.0 if n in full else scale * weight[n] for n in sizes}
+    assert 0 < min(p.values()) < 0.5 * max(p.values())
+    assert all(abs(r.a - certain - p[r["size"]]) < 0.035 for r in out)
+
+
+def test_mixing_passes_over_what_does_not_fit(spark):
+    """One document far longer than what is left is passed over, and many small ones fill the gap."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.randrange(50, 300), "b") for i in range(200)] + [(1000 + i, "w " * 20_000, "b") for i in range(2)] + [(2000, "w " * 90_000, "a")]
+    out = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'b'").collect()
+    assert abs(sum(x.taken for x in out) - out[0].target) <= 25
 
 
 def test_packing(docs, empty):
@@ -359,14 +379,76 @@ def test_lm_learns():
 
     line = walk(40_000)
     classes, within = lm.make_classes(np.bincount(line, minlength=lm.VOCABULARY).astype(float))
-    ids = line[: len(line) // 17 * 17].reshape(-1, 17)
     start, held = lm.start_weights(), [walk(200) for _ in range(10)]
     share = np.bincount(classes[line], minlength=lm.CLASSES) + 1e-3
     before = lm.score_texts(lm.start_weights(share / share.sum()), classes, within, held).sum()
-    after = lm.score_texts(lm.train(lm.start_weights(share / share.sum()), ids, classes), classes, within, held).sum()
+    after = lm.score_texts(lm.train(lm.start_weights(share / share.sum()), [line], classes), classes, within, held).sum()
     assert start["E"].shape == (lm.VOCABULARY, lm.WIDTH) and after > 0.8 * before
 
 
+@pytest.mark.parametrize("sizes", [[0], [1, 15, 16, 17, 0, 40], [5]])
+def test_lm_windows(sizes):
+    """Every id and every end is the target of one window, after the ids before it."""
+    texts = [np.arange(100 * i, 100 * i + n) for i, n in enumerate(sizes)]
+    source, target, real = lm.windows_of(texts)
+    assert target[real].tolist() == [x for t in texts for x in [*t.tolist(), lm.END]]
+    assert source[real].tolist() == [x for t in texts for x in [lm.END, *t.tolist()]]
+
+
+def test_lm_gradient():
+    """A step against differences of the loss, for some weights of each matrix."""
+    r = np.random.default_rng(3)
+    classes, _ = lm.make_classes(r.integers(0, 50, lm.VOCABULARY).astype(float))
+    source, target, real = lm.windows_of([r.integers(0, 300, n) for n in (40, 3, 17)])
+    w = {k: v + np.float32(0.1) * r.standard_normal(v.shape).astype(np.float32) for k, v in lm.start_weights().items()}
+
+    def loss(w):
+        y = lm.attend(w, source)[0]
+        return -lm.class_log({k: v.astype(np.float64) for k, v in w.items()}, y[real].astype(np.float64), classes[target[real]]).mean()
+
+    trainer = lm.Trainer({k: v.copy() for k, v in w.items()}, classes)
+    trainer.step(source, target, real)
+    for name in "QKVOUPb":
+        d = (w[name] - trainer.w[name]) / lm.RATE  # d / sqrt(1e-3 + d^2), so its sign and size follow the gradient
+        g = d / np.sqrt(np.maximum(1e-12, 1 - d * d)) * np.sqrt(1e-3)
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        up, down = ({k: v.astype(np.float64) for k, v in w.items()} for _ in range(2))
+        up[name][i] += 1e-3
+        down[name][i] -= 1e-3
+        assert math.isclose((loss(up) - loss(down)) / 2e-3, g[i], rel_tol=0.05, abs_tol=2e-4)
+
+
+def test_lm_beats_frequencies(spark):
+    """Held-out texts, through score(): what is learnt from all training texts beats what the ids' frequencies alone give, by a tenth at least where words follow each other."""
+    r = random.Random(8)
+    words = Tokenizer.from_file(TOKENIZER)
+    pool = [w for w in ("river stone light house green water mountain winter summer morning evening garden window letter silver golden" .split())]
+    after = {w: r.sample(pool, 2) for w in pool}
+    def text():
+        w = [r.choice(pool)]
+        for _ in range(60):
+            w.append(r.choice(after[w[-1]]))
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").repartition(2)
+    rows = {x.doc_id: x for x in lm.score(docs, TOKENIZER).where("held_out").collect()}
+    texts = {x.doc_id: words.encode(x.text, add_special_tokens=False).ids for x in docs.collect()}
+    tally = np.zeros(lm.VOCABULARY)
+    for i, ids in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            np.add.at(tally, [*ids, lm.END], 1)
+    share = np.log10((tally + 0.5) / (tally + 0.5).sum())
+    plain = sum(share[[*texts[i], lm.END]].sum() for i in rows)
+    assert len(rows) > 200 and sum(x.score for x in rows.values()) > 0.9 * plain
+
+
+def test_lm_other_ids(spark):
+    rows = lm.score(spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("varchar(4)")), TOKENIZER).collect()
+    assert len(rows) == 2
+    rows = lm.score(spark.createDataFrame([(1, "one two")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast("decimal(10,0)")), TOKENIZER).collect()
+    assert len(rows) == 1 and rows[0].n_tokens == 3
+
+
 def test_passages(spark, docs, empty):
     rows = passages.repeated_passages(docs).collect()
     texts = {x[0]: h.words((x[1] or "").translate(h.ASCII)) for x in h.sample()}
