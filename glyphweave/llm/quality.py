@@ -1,11 +1,14 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
 A document's counts are worked out inside its own row. A transformed statistic vector follows, in whole thousandths,
-so that all sums are exact integers and reruns agree. Each (language, source) group gets a location and a scatter
-from the half of its rows of least scatter (concentration steps from the medians and quartile ranges); a
-document is rejected by its Mahalanobis distance. One concentration step is one join with the groups' small table and
+so that all sums are exact integers and reruns agree. Each (language, source) group gets the location and the scatter of
+the SUBSET (three quarters: up to a quarter of a group may be junk) of its rows whose covariance determinant is least. The search goes by concentration steps
+from three starts (medians with quartile ranges; mean and covariance of all rows; correlations of squashed values) until no start's
+determinant falls any more; the best start counts. Its estimate is reweighted: mean and covariance of all rows within the
+RETAINED quantile of distance from it. A document is rejected by its Mahalanobis distance from that. FLOOR is added to each variance, so that no determinant
+is 0. One concentration step is one join with the groups' small table and
 one grouped sum over (group, distance bucket): sums combine map-side, so a source with a third of all rows costs no
-more per task than any other.
+more per task than any other. A step keeps whole buckets of distance, 64 to a factor of e, up to the one that fills the subset.
 
 Edge cases: null text counts as empty (no words: it fails the base rule); null language or source is a group of its
 own; groups with fewer than MIN_GROUP rows use their language's estimate, and languages with fewer use the estimate of
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphweave.llm._expr import let, words
 from glyphweave.session import cut
@@ -27,9 +30,11 @@ Z = ("z_words", "z_length", "z_symbols", "z_lines", "z_repeats")
 FLOOR = (0.5, 0.06, 0.06, 0.15, 0.15)
 UNIT = 1000.0
 MIN_GROUP = 100
-SUBSET = 0.75
+SUBSET, RETAINED = 0.75, 0.975
 TAIL = 1e-6
-STEPS = 3
+#: A step that lowers a determinant by less than this share is the last.
+SETTLED = 1e-3
+KEY = ("grp", "start")
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -102,14 +107,15 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """Cholesky factor l_ij of the scatter c_ij."""
+    """Cholesky factor l_ij of the scatter c_ij, and the log of its determinant."""
     for i in range(len(Z)):
         for j in range(i + 1):
             rest = F.col(f"c_{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
             params = params.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}{j}"))
-    return params.select("grp", *[f"m_{i}" for i in range(len(Z))], *[f"l_{i}{j}" for i in range(len(Z)) for j in range(i + 1)])
+    log_det = sum((2 * F.ln(F.col(f"l_{i}{i}")) for i in range(len(Z))), F.lit(0.0))
+    return params.select(*[k for k in KEY if k in params.columns], *[f"m_{i}" for i in range(len(Z))], *[f"l_{i}{j}" for i in range(len(Z)) for j in range(i + 1)], log_det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -125,39 +131,66 @@ def _distance() -> Column:
     return total
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges; the values are whole numbers in a narrow range, so that the exact percentiles' state is small."""
-    quart = rows.groupBy("grp").agg(*[F.expr(f"percentile({z}, array(0.25, 0.5, 0.75))").alias(f"q_{i}") for i, z in enumerate(Z)])
-    zero = F.lit(0.0)
-    return quart.select(
-        "grp",
-        *[(F.col(f"q_{i}")[1] / UNIT).alias(f"m_{i}") for i in range(len(Z))],
-        *[F.pow(F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / (1.349 * UNIT), F.lit(FLOOR[i])), 2).alias(f"c_{i}{j}") if i == j else zero.alias(f"c_{i}{j}") for i in range(len(Z)) for j in range(i + 1)],
+PAIRS = [(i, j) for i in range(len(Z)) for j in range(i + 1)]
+
+
+def _sums(values: list[Column]) -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(v).alias(f"s_{i}") for i, v in enumerate(values)], *[F.sum(values[i] * values[j]).alias(f"p_{i}{j}") for i, j in PAIRS]]
+
+
+def _covariance(i: int, j: int) -> Column:
+    return (F.col(f"p_{i}{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) / UNIT**2
+
+
+def _estimate(total: DataFrame, share: float) -> DataFrame:
+    """Location and scatter from sums over the nearest share of the rows, made consistent for normal ones."""
+    factor = share / _chi2_cdf(_chi2_quantile(share, len(Z)), len(Z) + 2) if share < 1 else 1.0
+    return total.select(
+        *[k for k in KEY if k in total.columns],
+        *[(F.col(f"s_{i}") / F.col("n") / UNIT).alias(f"m_{i}") for i in range(len(Z))],
+        *[(_covariance(i, j) * factor + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}{j}") for i, j in PAIRS],
     )
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of each group. The values are whole numbers in a narrow range, so that the exact percentiles' state is small."""
+    quart = rows.groupBy("grp").agg(*[F.expr(f"percentile({z}, array(0.25, 0.5, 0.75))").alias(f"q_{i}") for i, z in enumerate(Z)])
+    middle, spread = [F.col(f"q_{i}")[1] / UNIT for i in range(len(Z))], [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / (1.349 * UNIT), F.lit(FLOOR[i])) for i in range(len(Z))]
+    quart = cut(quart.select("grp", *[m.alias(f"m_{i}") for i, m in enumerate(middle)], *[x.alias(f"d_{i}") for i, x in enumerate(spread)]))
+    place = [f"m_{i}" for i in range(len(Z))]
+    scaled = lambda i: F.col(f"d_{i}") ** 2
+    plain = quart.select("grp", F.lit(0).alias("start"), *place, *[(scaled(i) if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in PAIRS])
+    every = _estimate(rows.groupBy("grp", F.lit(1).alias("start")).agg(*_sums([F.col(z) for z in Z])), 1.0)
+    squashed = rows.join(quart, "grp").select("grp", *[F.round(F.tanh((F.col(z) / UNIT - F.col(f"m_{i}")) / F.col(f"d_{i}")) * UNIT).cast("long").alias(z) for i, z in enumerate(Z)])
+    alike = squashed.groupBy("grp").agg(*_sums([F.col(z) for z in Z])).join(quart, "grp")
+    correlation = lambda i, j: _covariance(i, j) / F.sqrt((_covariance(i, i) + 1e-6) * (_covariance(j, j) + 1e-6))
+    bent = alike.select("grp", F.lit(2).alias("start"), *place, *[((scaled(i) + FLOOR[i] ** 2) if i == j else correlation(i, j) * F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"c_{i}{j}") for i, j in PAIRS])
+    return plain.unionByName(every).unionByName(bent)
+
+
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """New location and scatter from the SUBSET nearest rows of each group, whole distance buckets at a time."""
-    p = len(Z)
-    near = rows.join(params, "grp").withColumn("bucket", F.floor(16 * F.log1p(_distance())))
-    sums = near.groupBy("grp", "bucket").agg(
-        F.count("*").alias("n"),
-        *[F.sum(z).alias(f"s_{i}") for i, z in enumerate(Z)],
-        *[F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"p_{i}{j}") for i in range(p) for j in range(i + 1)],
-    )
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    kept = sums.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("grp"))}).where(F.col("before") < SUBSET * F.col("all"))
-    total = kept.groupBy("grp").agg(*[F.sum(c).alias(c) for c in kept.columns if c == "n" or c[:2] in ("s_", "p_")])
-    q = _chi2_quantile(SUBSET, p)
-    consistent = SUBSET / _chi2_cdf(q, p + 2)
-    cov = lambda i, j: (F.col(f"p_{i}{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) / UNIT**2 * consistent
-    return total.select(
-        "grp",
-        *[(F.col(f"s_{i}") / F.col("n") / UNIT).alias(f"m_{i}") for i in range(p)],
-        *[(cov(i, j) + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c_{i}{j}") for i in range(p) for j in range(i + 1)],
-    )
+    near = rows.join(params, "grp").withColumn("bucket", F.floor(64 * F.log1p(_distance())))
+    sums = near.groupBy(*KEY, "bucket").agg(*_sums([F.col(z) for z in Z]))
+    before = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    kept = sums.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*KEY))}).where(F.col("before") < SUBSET * F.col("all"))
+    return _estimate(kept.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in kept.columns if c == "n" or c[:2] in ("s_", "p_")]), SUBSET)
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """(grp, m_i, l_ij): reweighted location and Cholesky factor of each group of rows (grp and Z)."""
+    state = cut(_factor(_starts(rows)).withColumn("open", F.lit(True)).withColumn("log_det", F.lit(float("inf"))))
+    while state.where("open").take(1):  # each step lowers a determinant by a share, and FLOOR bounds it below
+        new = _factor(_concentrate(rows, state.where("open").drop("open", "log_det")))
+        new = new.select(*KEY, F.struct(*[c for c in new.columns if c not in KEY]).alias("new"))
+        old = state.select(*KEY, "open", F.struct(*[c for c in state.columns if c not in (*KEY, "open")]).alias("old"))
+        met = old.join(new, list(KEY), "left")
+        better = F.coalesce(F.col("new.log_det") < F.col("old.log_det"), F.lit(False))
+        state = cut(met.select(*KEY, F.when(better, F.col("new")).otherwise(F.col("old")).alias("x"), (better & (F.col("new.log_det") < F.col("old.log_det") + math.log1p(-SETTLED))).alias("open")).select(*KEY, "x.*", "open"))
+    names = [c for c in state.columns if c[:2] in ("m_", "l_")]
+    best = state.groupBy("grp").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("x")).select("grp", "x.*")
+    inside = rows.join(best, "grp").where(_distance() <= _chi2_quantile(RETAINED, len(Z)))
+    return _factor(_estimate(inside.groupBy("grp").agg(*_sums([F.col(z) for z in Z])), RETAINED)).drop("log_det")
 
 
 def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -166,9 +199,7 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = cut(_vector(statistics(docs, [*keep, "g_lang", "g_source"])))
     rows = cut(rows.join(_groups(rows), ["g_lang", "g_source"]))
     parts = rows.select(F.explode("levels").alias("grp"), *Z)
-    params = cut(_factor(_start(parts)))
-    for _ in range(STEPS):
-        params = cut(_factor(_concentrate(parts, params)))
+    params = cut(minimum_determinant(parts))
     judged = rows.join(params, "grp", "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select(
