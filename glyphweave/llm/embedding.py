@@ -2,10 +2,11 @@
 
 Vectors of one label and length are scaled to length 1, where cosine >= c is a Euclidean distance <= e = sqrt(2 - 2 c). On
 the leading principal axes of all vectors a grid of cells of side e is laid; vectors are sorted by label and then by their cells,
-axis by axis (the epsilon grid order), and the sorted sequence is cut into blocks. Two blocks can hold a link only if
-their cells differ by one at most on each axis: block pairs come from an equi-join on the first axis' cells (own and next),
-and are skipped when another axis keeps their intervals apart. A pair of blocks is joined recursively: halved
-along the sequence, skipped where provably distant, and settled without further look where all its vectors are provably
+axis by axis (the epsilon grid order), and the sorted sequence is cut into blocks. Intervals of the sequence are joined recursively: each
+interval has a box on the leading BOX axes; a pair of intervals whose boxes lie more than e apart holds no link and is skipped, any other is
+replaced by the pairs of its parts, sixteen to an interval, down to single blocks. That goes over boxes alone, by equi-joins on the
+interval; vectors are shipped only for the pairs of blocks that are left, and once for each pair of groups of sixteen blocks. A pair of blocks is
+joined by the same recursion in all dimensions: halved along the sequence, skipped where provably distant, and settled without further look where all its vectors are provably
 near; what is left is one matrix product in double precision.
 
 Equal vectors are one node with a weight from the start, so copies cost nothing. A link count is a sum over block pairs; links
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glyphweave.operators.components import connected_components
 from glyphweave.session import cut
 
-AXES, BLOCK, LEAF = 6, 1024, 64
+AXES, BOX, BLOCK, LEAF = 6, 16, 1024, 64
+#: Bits of a block's number by which intervals grow from level to level.
+FAN = 4
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -67,28 +69,30 @@ def axes(nodes: DataFrame, most_dims: int = 64) -> dict[int, np.ndarray]:
         m = m + np.triu(m, 1).T
         n = m[-1, -1]
         cov = m[:-1, :-1] / n - np.outer(m[:-1, -1], m[:-1, -1]) / n**2
-        out[int(dim)] = np.linalg.eigh(np.round(cov, 9))[1][:, ::-1][:, :AXES].copy()
+        out[int(dim)] = np.linalg.eigh(np.round(cov, 9))[1][:, ::-1][:, :BOX].copy()
     return out
 
 
 def _cells(nodes: DataFrame, found: dict[int, np.ndarray], eps: float) -> DataFrame:
+    """nodes with their cells on the sorting axes and their place on the box axes (at)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
             for dim, part in pdf.groupby("dim"):
-                base = found.get(dim, np.eye(dim, min(dim, AXES)))
-                c = np.floor(_unit(np.stack(part["v"].to_numpy())) @ base / eps).astype(np.int32)
-                c = np.pad(c, ((0, 0), (0, AXES - c.shape[1])))
-                parts.append(part.assign(**{f"c{k}": c[:, k] for k in range(AXES)}))
+                at = _unit(np.stack(part["v"].to_numpy())) @ found.get(dim, np.eye(dim, min(dim, BOX)))
+                at = np.pad(at, ((0, 0), (0, BOX - at.shape[1])))
+                c = np.floor(at[:, :AXES] / eps).astype(np.int32)
+                parts.append(part.assign(**{f"c{k}": c[:, k] for k in range(AXES)}, at=list(at)))
             if parts:
                 yield pd.concat(parts)
 
-    return nodes.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + "".join(f", c{k} int" for k in range(AXES)))
+    return nodes.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) + "".join(f", c{k} int" for k in range(AXES)) + ", at array<double>")
 
 
 def _blocks(cells: DataFrame) -> DataFrame:
-    """The sorted sequence in blocks: (block, label, dim, lo, hi, ids, weights, vectors)."""
-    kind = cells.schema["label"].dataType.simpleString()
+    """The sorted sequence in blocks of one label and length: (block: its number, in order, lo and hi: its box, ids, weights, vectors)."""
+    kind, vector = cells.schema["label"].dataType.simpleString(), cells.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -97,15 +101,20 @@ def _blocks(cells: DataFrame) -> DataFrame:
         rest = None
 
         def block(p: pd.DataFrame) -> dict:
-            c = p[[f"c{k}" for k in range(AXES)]].to_numpy()
-            return {"block": (part << 32) + made, "label": p["label"].iloc[0], "dim": p["dim"].iloc[0], "lo": c.min(0), "hi": c.max(0), "first": int(c[0, 0]), "last": int(c[-1, 0]), "ids": p["node"].to_numpy(), "weights": p["weight"].to_numpy(), "vectors": np.concatenate(p["v"].to_numpy()).astype(np.float64)}
+            at = np.stack(p["at"].to_numpy())
+            return {"block": (part << 32) + made, "label": p["label"].iloc[0], "dim": p["dim"].iloc[0], "lo": at.min(0), "hi": at.max(0), "ids": p["node"].to_numpy(), "weights": p["weight"].to_numpy(), "vectors": np.concatenate(p["v"].to_numpy())}
 
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat((rest, pdf))
             out = []
             while len(pdf):
-                same = (pdf["label"] == pdf["label"].iloc[0]) & (pdf["dim"] == pdf["dim"].iloc[0]) & (pdf["c0"] == pdf["c0"].iloc[0])
-                end = min(BLOCK, int((~same).to_numpy().argmax()) or len(pdf))
+                same = (pdf["label"] == pdf["label"].iloc[0]) & (pdf["dim"] == pdf["dim"].iloc[0])
+                cell = (same & (pdf["c0"] == pdf["c0"].iloc[0])).to_numpy()
+                end = int((~same).to_numpy().argmax()) or len(pdf)
+                inside = int((~cell).argmax()) or len(pdf)
+                if inside >= BLOCK // 4:  # a block ends with its cell on the first axis if it is not too small
+                    end = inside
+                end = min(BLOCK, end)
                 if end == len(pdf) and end < BLOCK:
                     break
                 out.append(block(pdf.iloc[:end]))
@@ -118,7 +127,26 @@ def _blocks(cells: DataFrame) -> DataFrame:
             yield pd.DataFrame([block(rest)])
 
     order = ["label", "dim", *[f"c{k}" for k in range(AXES)], "node"]
-    return cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, f"block long, label {kind}, dim int, lo array<int>, hi array<int>, first int, last int, ids array<long>, weights array<long>, vectors array<double>")
+    return cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, f"block long, label {kind}, dim int, lo array<double>, hi array<double>, ids array<long>, weights array<long>, vectors {vector}")
+
+
+def _block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """(a, b) with a <= b: blocks (block, label, dim, lo, hi) whose boxes are no more than eps apart; intervals of the sequence are parted level by level."""
+    part, made = F.shiftright("block", 32), F.col("block").bitwiseAND((1 << 32) - 1)
+    wide = boxes.agg(F.max(part).alias("part"), F.max(made).alias("made")).first()
+    levels = [F.lit(0).cast("long")]
+    levels += [F.shiftright(part, k) for k in range(-(-int(wide.part or 0).bit_length() // FAN) * FAN - FAN, 0, -FAN)]
+    levels += [F.shiftleft(part, 32).bitwiseOR(F.shiftright(made, k)) for k in range(-(-int(wide.made or 0).bit_length() // FAN) * FAN, -1, -FAN)]
+    own = ["label", "dim"]
+    edges = [f(F.get(side, F.lit(k))).alias(f"{side}{k}") for side, f in (("lo", F.min), ("hi", F.max)) for k in range(BOX)]
+    pairs = boxes.select(*own, F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
+    for up, down in zip(levels, levels[1:], strict=False):
+        nodes = boxes.groupBy(*own, up.alias("up"), down.alias("key")).agg(*edges)
+        side = lambda x: nodes.select(*own, F.col("up").alias(x), F.col("key").alias(f"{x}_key"), *[F.col(f"{e}{k}").alias(f"{x}_{e}{k}") for e in ("lo", "hi") for k in range(BOX)])  # noqa: B023, E731
+        gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}")), 2) for k in range(BOX)), F.lit(0.0))
+        met = pairs.join(side("a"), [*own, "a"]).join(side("b"), [*own, "b"]).where((F.col("a_key") <= F.col("b_key")) & (gap <= eps * eps + 1e-9))
+        pairs = cut(met.select(*own, F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+    return pairs.select("a", "b")
 
 
 def _join(a: np.ndarray, b: np.ndarray, cos: float, same: bool) -> Iterator[tuple[slice, slice, np.ndarray | None]]:
@@ -190,25 +218,19 @@ def near_duplicates(table: DataFrame, cos: float = 0.98) -> DataFrame:
     nodes = cut(nodes.select(F.xxhash64("label", "v").alias("node"), "label", F.size("v").alias("dim"), "v", "weight", F.col("least.vec_id").alias("least")))
     found = axes(nodes)
     blocks = cut(_blocks(_cells(nodes.drop("least"), found, eps)))
-    box = blocks.select("block", "label", "dim", "lo", "hi", "first", "last")
-    left = box.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence("first", F.col("last") + 1)).alias("cell"), F.col("first").alias("afirst"), F.col("last").alias("alast"))
-    right = box.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence("first", F.col("last") + 1)).alias("cell"), F.col("first").alias("bfirst"))
-    apart = F.exists(F.sequence(F.lit(0), F.lit(AXES - 1)), lambda k: (F.get("alo", k) > F.get("bhi", k) + 1) | (F.get("blo", k) > F.get("ahi", k) + 1))
-    pairs = cut(left.join(right, ["label", "dim", "cell"]).where((F.col("a") <= F.col("b")) & (F.col("cell") == F.greatest("afirst", "bfirst")) & ~apart).select("a", "b"))
-    one = blocks.select(F.col("block").alias("a"), F.col("ids").alias("ia"), F.col("weights").alias("wa"), F.col("vectors").alias("va"), "dim")
-    two = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ib"), F.col("weights").alias("wb"), F.col("vectors").alias("vb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, r=r, batch=batch: batch.column(batch.schema.get_field_index(c))[r].values.to_numpy()
-                a, b, dim = (batch.column(batch.schema.get_field_index(c))[r].as_py() for c in ("a", "b", "dim"))
-                va = get("va").reshape(-1, dim)
-                node, n, to = join_blocks(get("ia"), get("wa"), va, *((get("ia"), get("wa"), va) if a == b else (get("ib"), get("wb"), get("vb").reshape(-1, dim))), cos, a == b)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(to)], names=["node", "n", "low"])
-
-    joined = pairs.join(one, "a").join(two, "b")
-    links = cut(joined.mapInArrow(run, "node long, n long, low long"))
+    pairs = _block_pairs(blocks.select("block", "label", "dim", "lo", "hi"), eps)
+    group = lambda c: F.shiftright(c, FAN)
+    pairs = pairs.select(group(F.col("a")).alias("ga"), group(F.col("b")).alias("gb"), "a", "b")
+    lists = pairs.groupBy("ga", "gb").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("pairs"))  # at most 4 ** FAN of a pair of groups
+    needed = pairs.select("ga", "gb", F.col("a").alias("block")).union(pairs.select("ga", "gb", "b")).distinct().join(lists, ["ga", "gb"])
+    shipped = needed.join(blocks.select("block", "dim", "ids", "weights", "vectors"), "block")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = {r.block: (r.ids, r.weights, r.vectors.reshape(-1, r.dim)) for r in pdf.itertuples()}
+        out = [join_blocks(*held[x["a"]], *held[x["b"]], cos, x["a"] == x["b"]) for x in pdf["pairs"].iloc[0]]
+        return pd.DataFrame({name: np.concatenate([o[k] for o in out]) for k, name in enumerate(("node", "n", "low"))})
+
+    links = cut(shipped.groupBy("ga", "gb").applyInPandas(run, "node long, n long, low long"))
     count = links.groupBy("node").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("node").alias("src"), F.col("low").alias("dst"))).withColumnRenamed("component", "grp")
     full = nodes.select("node", "least", F.col("weight")).join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")).join(count, "node", "left")
