@@ -42,7 +42,7 @@ WITH t AS ({DOC_WORDS}), s AS (SELECT doc_id, pos, word, lower(regexp_replace(wo
 SELECT stem AS lemma_id, arg_max(word, doc_id * 1000000 + pos) AS lemma, CAST(count(DISTINCT word) AS BIGINT) AS n_variants, CAST(count(*) AS BIGINT) AS n_examples
 FROM s WHERE stem <> '' GROUP BY stem""")
 def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words grouped by stem; latest form, variants, occurrences."""
+    """A1's summary without its lists: words grouped by stem; latest form, variants, occurrences."""
     t = doc_words(spark, sf_dir).withColumn("lemma_id", F.lower(F.regexp_replace("word", "[.,;:!?]+$", "")))
     return lex.lexicon_counts(t.where("lemma_id <> ''").select("lemma_id", F.col("word").alias("translit"), F.col("doc_id").alias("sent_ord"), "pos"))
 
@@ -110,12 +110,15 @@ SELECT conv_id, turn, '[HIERO] ' || text || chr(10) || '[TRANS] ' || role || chr
 FROM (SELECT *, lead(role) OVER w AS nrole, lead(text) OVER w AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE role = 'user' AND nrole = 'assistant' AND trim(coalesce(text, '')) <> '' AND trim(coalesce(nxt, '')) <> ''""")
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn and the assistant's answer."""
+    """A user turn and the assistant's answer as a training example."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumns({"nrole": F.lead("role").over(w), "output_text": F.lead("text").over(w)})
-    rows = rows.where("role = 'user' and nrole = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(output_text, '')) <> ''")
+    rows = table(spark, sf_dir, "conversations").withColumns({"nrole": F.lead("role").over(w), "translation": F.lead("text").over(w)}).where("role = 'user' and nrole = 'assistant'")
     none = F.lit(None).cast("string")
-    return rows.select("conv_id", "turn", tx.source_text(F.col("text"), F.col("role"), none, none).alias("input_text"), "output_text")
+    rows = rows.select(F.struct("conv_id", "turn").alias("sent_ord"), F.col("text").alias("hieroglyphs"), "translation", F.to_json(F.struct("conv_id", "turn")).alias("UPOS"), none.alias("glossing"), none.alias("lemmatization"), "role")
+    texts = rows.select("sent_ord", F.when(F.trim("hieroglyphs") != "", tx.source_text(F.col("hieroglyphs"), F.col("role"), none, none)).alias("text"))
+    out = lex.training_examples(rows.drop("role"), texts)
+    key = F.from_json("metadata.upos", "conv_id long, turn long")
+    return out.select(key["conv_id"].alias("conv_id"), key["turn"].alias("turn"), "input_text", "output_text")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.9) AS is_train FROM documents")
@@ -294,17 +297,6 @@ def redundant_edge_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.cleanup_descent(nodes, edges).select("network_id", "from", "to", "type")
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'))) AS w FROM documents),
-b AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'))) AS w FROM benchmark),
-s AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN b ON d.w = b.w WHERE d.w <> '' GROUP BY 1, 2)
-SELECT doc_id, CAST(max(n) AS BIGINT) AS overlap, arg_max(item_id, n * 1000000 - item_id) AS item_id FROM s GROUP BY doc_id""")
-def best_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark item that shares the most words, the first on ties."""
-    words = lambda t, k: table(spark, sf_dir, t).select(k, F.explode(F.array_distinct(F.array_remove(F.split(F.lower("text"), SPACES), ""))).alias("w"))
-    s = words("documents", "doc_id").join(words("benchmark", "item_id"), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    return s.groupBy("doc_id").agg(F.max("n").alias("overlap"), F.max_by("item_id", F.struct("n", -F.col("item_id"))).alias("item_id"))
-
-
 @query("""WITH t AS (SELECT doc_id AS network_ord, source AS form, text, length(text) AS n_nodes FROM documents WHERE contains(lower(text), 'licen') OR contains(lower(source), 'licen') ORDER BY doc_id LIMIT 50)
 SELECT CAST(network_ord AS VARCHAR) AS network_id, form, CAST(1 AS BIGINT) AS n_nodes, lower(form) = 'licen' AS exact FROM t""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,19 +318,6 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
-@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-style extraction: links and titles."""
-    rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1), " ").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), html) AS section FROM pages""")
-def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A section, or the whole text."""
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), F.lit("")), "html").alias("section"))
-
-
 @query("""WITH t AS (SELECT page_id, unnest(x) AS tag, generate_subscripts(x, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '<(h1|h2|p|li|b|ul)[ >]', 1) AS x FROM pages)),
 d AS (SELECT *, CASE tag WHEN 'h1' THEN 0 WHEN 'h2' THEN 1 WHEN 'ul' THEN 1 WHEN 'p' THEN 2 WHEN 'li' THEN 2 ELSE 3 END AS depth FROM t)
 SELECT a.page_id, CAST(a.ord AS INTEGER) AS ord, CAST(a.depth AS INTEGER) AS depth, CAST(max(b.ord) AS INTEGER) AS parent FROM d a LEFT JOIN d b ON a.page_id = b.page_id AND b.ord < a.ord AND b.depth < a.depth GROUP BY 1, 2, 3""")
@@ -350,27 +329,6 @@ def tree_from_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.parents(rows, "page_id", levels=4)
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN trim(text) LIKE '%.' THEN 1 ELSE 0 END AS e, length(text) AS n FROM conversations),
-b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM t)
-SELECT conv_id, CAST(block AS BIGINT) AS block, max(turn) AS last_turn, CAST(sum(n) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
-def page_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns gathered until one ends with a full stop."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").withColumn("e", F.trim("text").endswith(".").cast("int"))
-    rows = rows.withColumn("block", F.coalesce(F.sum("e").over(w), F.lit(0)).cast("long"))
-    return rows.groupBy("conv_id", "block").agg(F.max("turn").alias("last_turn"), F.sum(F.length("text")).cast("long").alias("n_chars"))
-
-
-@query("""WITH t AS (SELECT page_id, translate(regexp_replace(html, '<h1>([^<]*)</h1>', '[\\1]', 'g'), '<>', '{}') AS s FROM pages)
-SELECT page_id, array_to_string(regexp_extract_all(s, '\\[([^\\]]*)\\]\\s*([^\\[\\]{}]*)\\{([^}]*)\\}', 1), '|') AS translit, array_to_string(regexp_extract_all(s, '\\[([^\\]]*)\\]\\s*([^\\[\\]{}]*)\\{([^}]*)\\}', 3), '|') AS gardiner FROM t""")
-def entry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketed head words and braced codes."""
-    p = r"\[([^\]]*)\]\s*([^\[\]{}]*)\{([^}]*)\}"
-    s = F.translate(F.regexp_replace("html", "<h1>([^<]*)</h1>", "[$1]"), "<>", "{}")
-    rows = table(spark, sf_dir, "pages").select("page_id", s.alias("s"))
-    return rows.select("page_id", F.array_join(F.regexp_extract_all("s", F.lit(p), 1), "|").alias("translit"), F.array_join(F.regexp_extract_all("s", F.lit(p), 3), "|").alias("gardiner"))
-
-
 @query("SELECT lang, CAST(count(*) FILTER (WHERE quality IS NULL) AS BIGINT) AS missing, CAST(count(*) AS BIGINT) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9."""

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from glyphweave.plans import driver_queries as dq
+from glyphweave.plans import driver_queries as dq, operator_queries as oq
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels pages conversations".split()
@@ -23,11 +23,16 @@ def rows(pdf):
     return cols, sorted(tuple(clean(x) for x in r) for r in pdf[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["lexicon_build", "affix_split", "vocab_ids", "prefix_suffix_match", "period_rank", "temporal_chain", "same_period_variants", "canonical_spelling", "ego_k2", "ancestry_path", "connected_components", "redundant_edge_cleanup", "best_match_score", "keyword_search", "upsert_latest", "entry_scan"])
+@pytest.mark.parametrize("name", ["lexicon_build", "affix_split", "vocab_ids", "prefix_suffix_match", "period_rank", "temporal_chain", "same_period_variants", "canonical_spelling", "ego_k2", "ancestry_path", "connected_components", "redundant_edge_cleanup", "keyword_search", "upsert_latest", "training_pairs", "tree_from_depth"])
 def test_against_sql(spark, db, name):
     assert rows(dq.QUERIES[name](spark, SF).toPandas()) == rows(db.sql(dq.ORACLE[name]).df())
 
 
+@pytest.mark.parametrize("name", list(oq.QUERIES))
+def test_operators_against_sql(spark, db, name):
+    assert rows(oq.QUERIES[name](spark, SF).toPandas()) == rows(db.sql(oq.ORACLE[name]).df())
+
+
 def test_contract(spark):
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(dq.QUERIES) == set(dq.ORACLE)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(dq.QUERIES) == set(dq.ORACLE) and set(oq.QUERIES) == set(oq.ORACLE) and not set(dq.QUERIES) & set(oq.QUERIES)
     assert entry.entry(spark).count() > 0
