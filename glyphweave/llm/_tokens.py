@@ -14,7 +14,7 @@ def letters_only(stem: bytes) -> bool:
 
 
 _MADE: dict[str, WordIds] = {}
-_PARTS: dict[str, dict[bytes, list[int]]] = {}
+_PARTS: dict[str, dict[bytes, bytes]] = {}
 
 
 class WordIds(dict):
@@ -55,13 +55,13 @@ class WordIds(dict):
 
 
 class WordTable:
-    """Numbers for lower-case words, with each word's hash, ids and what else a caller keeps per word; emptied like WordIds."""
+    """Numbers for lower-case words, with each word's hash, ids (16 bits each) and what else a caller keeps per word; emptied like WordIds."""
 
-    def __init__(self, path: str, keep, most: int = 400_000):
+    def __init__(self, path: str, keep, most: int = 400_000, most_parts: int = 700_000):
         """keep(hashes) gives a row of numbers for each new word."""
         from tokenizers import Tokenizer
 
-        self.encode, self.keep, self.most = Tokenizer.from_file(path).encode, keep, most
+        self.encode, self.keep, self.most, self.most_parts = Tokenizer.from_file(path).encode, keep, most, most_parts
         self.ids = _PARTS.setdefault(path, {})  # a worker process keeps these from task to task
         self.clear()
 
@@ -69,18 +69,18 @@ class WordTable:
         self.number: dict[bytes, int] = {}
         self.hash, self.start, self.flat, self.kept = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), None
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _ids(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,;:!?")
         if stem != word and letters_only(stem):
             return self._part(stem) + self._part(word[len(stem) :])
         return self._part(word)
 
-    def _part(self, word: bytes) -> list[int]:
+    def _part(self, word: bytes) -> bytes:
         found = self.ids.get(word)
         if found is None:
-            if len(self.ids) > self.most:
+            if len(self.ids) > self.most_parts:
                 self.ids.clear()
-            self.ids[word] = found = self.encode(word.decode(), add_special_tokens=False).ids
+            self.ids[word] = found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
         return found
 
     def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -95,8 +95,8 @@ class WordTable:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
             ids = [self._ids(w) for w in new]
             self.hash = np.concatenate((self.hash, h))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(i) for i in ids])))
-            self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.uint16)))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(i) // 2 for i in ids])))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u2")))
             more = self.keep(h)
             self.kept = more if self.kept is None else np.concatenate((self.kept, more))
         get = self.number.__getitem__

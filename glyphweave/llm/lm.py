@@ -38,7 +38,7 @@ CONTEXT, STRIDE, WIDTH, CLASSES = 16, 12, 16, 64
 VOCABULARY, END = 49_408, 49_407
 ALONE = 40
 HOT = 200_000
-ROUNDS, BATCH, RATE = 2, 128, 0.1
+ROUNDS, BATCH, RATE = 2, 64, 0.1
 #: Stands for the end token among the hashes of words.
 END_WORD = 7
 
