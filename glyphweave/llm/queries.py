@@ -76,6 +76,22 @@ _CLOSURE = """l AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(
 c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 _FIRST = "ORDER BY words * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
+_any_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_NAMES = "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+#: Per kind: a pattern without look-around, and what a match must be besides. Runs of letters and digits stand for the last one's edges.
+_SECRETS = (
+    (_ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 12"),
+    ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+    ("[0-9a-f]+", "length(m) >= 16"),
+    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "true"),
+    ("gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    (r"[a-z][a-z0-9+.-]{1,15}://[^\s\x0b:/@]{1,64}:[^\s\x0b:/@]{3,64}@", "true"),
+    ("[0-9A-Za-z]+", "regexp_full_match(m, '[0-9A-F]{32,}') AND regexp_matches(m, '[A-F]') AND regexp_matches(m, '[0-9]')"),
+)
+_KIND_NAMES = "['assign', 'access', 'hex', 'private_key', 'web_token', 'hosted_token', 'url_login', 'upper_hex']"
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -105,6 +121,14 @@ g2 AS (SELECT source, list_reduce(list_prepend({{'gap': any_value(need), 'ids':
 o AS (SELECT q.*, coalesce(list_contains(fold.ids, doc_id), false) AS taken, fold.gap AS gap FROM q LEFT JOIN g2 ON q.source IS NOT DISTINCT FROM g2.source),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY source, (NOT taken AND size > 0 AND size < 2 * gap) ORDER BY abs(gap - size), rank, doc_id) = 1 AND NOT taken AND size > 0 AND size < 2 * gap AS fits FROM o)
 SELECT doc_id, size, words AS source_size, target, CAST((certain + CASE WHEN taken OR coalesce(fits, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f2""",
+    "op6_secret_scans": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({" UNION ALL ".join(f"SELECT {k} AS kind, doc_id, string_split(regexp_replace(text, '{pattern}', '\ue000\\0\ue001', 'g'), '\ue000') AS x FROM d" for k, (pattern, _) in enumerate(_SECRETS))}),
+each AS (SELECT kind, doc_id, split_part(p, '\ue001', 1) AS m, i, sum(length(p)) OVER (PARTITION BY kind, doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - (i - 2) AS start FROM (SELECT kind, doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM raw)),
+hits AS (SELECT kind, doc_id, start, CAST(start + length(m) AS BIGINT) AS stop, ({_KIND_NAMES})[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT) AS span FROM each WHERE i > 1 AND CASE kind {" ".join(f"WHEN {k} THEN {test}" for k, (_, test) in enumerate(_SECRETS))} END),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind, stop) AS spans FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN g USING (doc_id)""",
     "op7_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_CLOSURE},
