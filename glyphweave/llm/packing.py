@@ -111,7 +111,8 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), c
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = tally.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = rows.join(base, ["length", "part"]).withColumn("number", F.col("base") + F.col("number"))
+    # base grows with the input's partitions, so it is never broadcast; a key holds at most one partition's pieces
+    numbered = rows.join(base.hint("merge"), ["length", "part"]).withColumn("number", F.col("base") + F.col("number"))
     slots = pd.DataFrame(plan_slots(counts, capacity), columns=["length", "from", "to", "bin", "times", "at"]).astype("int64")
     slots = spark.createDataFrame(slots, "length long, from long, to long, bin long, times long, at long")
     # A length has few slots, so they travel as one array per length; all slots together are at most a small multiple of capacity rows.
