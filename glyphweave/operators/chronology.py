@@ -43,11 +43,12 @@ def first_attestation(forms: DataFrame, *by: str) -> DataFrame:
 def same_period_variants(forms: DataFrame, *by: str) -> DataFrame:
     """Pairs of forms of one type and period, in order.
 
-    The pairs are the result; what bounds them is the number of attested forms of one definition in one period.
+    The pairs are the result; what bounds them is the number of attested forms of one definition in one period. They come from a join on the period, so that none is held in a list.
     """
-    later = F.collect_list("node").over(Window.partitionBy(*by, "type", "rank").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
-    pairs = forms.where(F.col("rank") < OTHER_DATE).withColumn("later", later).withColumn("other", F.explode("later"))
-    return pairs.select(*by, *_edge(F.col("node"), F.col("other"), F.lit("VARIANT"), F.lit("same period")))
+    key = [*by, "type", "rank"]
+    dated = forms.where(F.col("rank") < OTHER_DATE)
+    later = dated.select(*key, F.col("ord").alias("__ord"), F.col("node").alias("__node"))
+    return dated.join(later, key).where(F.col("ord") < F.col("__ord")).select(*by, *_edge(F.col("node"), F.col("__node"), F.lit("VARIANT"), F.lit("same period")))
 
 
 def undated_variants(forms: DataFrame, *by: str) -> DataFrame:

@@ -26,24 +26,29 @@ def parallel_tokens(corpus: DataFrame) -> DataFrame:
     return each.select("sent_ord", "s", "pos", F.substring_index("lemma", "|", 1).alias("lemma_id"), F.expr("substring(lemma, instr(lemma, '|') + 1)").alias("lemma_form"), at("g").alias("glyph"), at("t").alias("translit"), at("u").alias("upos"), at("x").alias("gloss"))
 
 
-def build_lexicon(corpus: DataFrame, compat: bool = False) -> DataFrame:
-    """A1: per lemma id the last form, part of speech and gloss, the distinct variants in order, and an example for each occurrence."""
-    rows = parallel_tokens(corpus)
+def lexicon_tables(corpus: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A1 as three flat tables: lemmas (lemma_ord, lemma_id, lemma, upos, gloss: of the last occurrence), variants (lemma_id, ord, variant: each once) and
+    examples (lemma_id, ord, example: one an occurrence). No row grows with a lemma's frequency: for corpora in which some lemma is in a large share of the sentences."""
     a = tx.affixes(F.col("translit"))
-    rows = rows.withColumn("a", a).withColumn("ord", F.struct("sent_ord", "pos"))
+    rows = parallel_tokens(corpus).withColumn("a", a).withColumn("ord", F.struct("sent_ord", "pos"))
     variant = F.struct("glyph", "translit", F.col("a.prefixes").alias("prefixes"), F.col("a.suffixes").alias("suffixes"), tx.mixed_codes(F.col("glyph"), compat).alias("gardiner"), "gloss")
     have = {c.lower() for c in corpus.columns}
     extra = lambda c: F.col(f"s.{c}") if c.lower() in have else F.lit(None).cast("string")
     example = F.struct(F.col("s.hieroglyphs").alias("sentence_hiero"), F.col("s.transliteration").alias("sentence_translit"), F.col("s.UPOS").alias("sentence_upos"), extra("glossing").alias("sentence_gloss"), tx.sentence_codes(F.col("s.hieroglyphs"), compat).alias("sentence_gardiner"), extra("translation").alias("translation"), extra("dateNotBefore").alias("dateNotBefore"), extra("dateNotAfter").alias("dateNotAfter"))
-    first_seen = rows.withColumn("variant", variant).groupBy("lemma_id", "variant").agg(F.min("ord").alias("ord"))
-    variants = first_seen.groupBy("lemma_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "variant"))), lambda x: x["variant"]).alias("glyph_variants"))
-    # a lemma's examples are its own result row; the variants, which a common lemma repeats, are reduced before they are gathered
-    heads = rows.withColumn("example", example).groupBy("lemma_id").agg(
-        F.min("ord").alias("lemma_ord"),
-        *[F.max_by(c, "ord").alias(n) for c, n in (("translit", "lemma"), ("upos", "upos"), ("gloss", "gloss"))],
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "example"))), lambda x: x["example"]).alias("examples"),
-    )
-    return heads.join(variants, "lemma_id").select("lemma_ord", "lemma_id", "lemma", "upos", "gloss", "glyph_variants", "examples")
+    lemmas = rows.groupBy("lemma_id").agg(F.min("ord").alias("lemma_ord"), *[F.max_by(c, "ord").alias(n) for c, n in (("translit", "lemma"), ("upos", "upos"), ("gloss", "gloss"))])
+    variants = rows.withColumn("variant", variant).groupBy("lemma_id", "variant").agg(F.min("ord").alias("ord"))
+    return lemmas, variants.select("lemma_id", "ord", "variant"), rows.select("lemma_id", "ord", example.alias("example"))
+
+
+def build_lexicon(corpus: DataFrame, compat: bool = False) -> DataFrame:
+    """A1, nested for export: per lemma id the last form, part of speech and gloss, the distinct variants in order, and an example for each occurrence.
+
+    A lemma's examples are one row here; lexicon_tables() keeps them apart.
+    """
+    lemmas, variants, examples = lexicon_tables(corpus, compat)
+    nest = lambda df, c, name: df.groupBy("lemma_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]).alias(name))
+    full = lemmas.join(nest(variants, "variant", "glyph_variants"), "lemma_id").join(nest(examples, "example", "examples"), "lemma_id")
+    return full.select("lemma_ord", "lemma_id", "lemma", "upos", "gloss", "glyph_variants", "examples")
 
 
 def lexicon_counts(tokens: DataFrame) -> DataFrame:

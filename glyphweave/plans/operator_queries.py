@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphweave.functions import lexical as lx, text as tx
+from glyphweave.functions import lexical as lx, tables, text as tx
 from glyphweave.operators import chronology as ch, graph as g, lexicon as lex, networks as nw, wikitext as wt
 from glyphweave.plans.driver_queries import EDGES, FORMS, NODES, event_forms, property_graph
 from glyphweave.session import shared_dir, table
@@ -567,3 +567,101 @@ def networks_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R7."""
     nodes, _ = property_graph(spark, sf_dir)
     return nw.union(*[nodes.where(F.col("language") == x).select("id", "form") for x in ("supplier", "nation")])
+
+
+@query(f"""
+SELECT lemma_id, 'lemma' AS what, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT {ADJ} AS lemma_id FROM part UNION SELECT DISTINCT {NOUN} FROM part) GROUP BY 1
+UNION ALL SELECT {ADJ}, 'variant', count(DISTINCT {SIGN} || '/' || p_type || '/' || p_brand) FROM part GROUP BY 1 UNION ALL SELECT {NOUN}, 'variant', count(DISTINCT {OTHER}) FROM part GROUP BY 1
+UNION ALL SELECT {ADJ}, 'example', count(*) FROM part GROUP BY 1 UNION ALL SELECT {NOUN}, 'example', count(*) FROM part GROUP BY 1""")
+def lexicon_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 as flat tables: how many lemma rows, variants and examples each lemma has."""
+    parts = zip(("lemma", "variant", "example"), lex.lexicon_tables(_corpus(spark, sf_dir)), strict=True)
+    return nw.union(*[t.groupBy("lemma_id").agg(F.count("*").alias("n")).select("lemma_id", F.lit(name).alias("what"), "n") for name, t in parts])
+
+
+@query("""SELECT p_brand AS key, arg_max(p_name, p_partkey) AS x, CAST(dense_rank() OVER (ORDER BY min(p_partkey)) AS BIGINT) AS place FROM part GROUP BY 1""")
+def keyed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object of objects with repeated keys, written as one JSON text; the last value counts, at the first place."""
+    rows = table(spark, sf_dir, "part").groupBy().agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand", "p_name"))).alias("x"))  # one small file: the format is one object
+    text = rows.select(F.concat(F.lit("{"), joined(F.transform("x", lambda r: F.concat(F.lit('"'), r["p_brand"], F.lit('": {"x": "'), r["p_name"], F.lit('"}'))), ", "), F.lit("}")).alias("value"))
+    path = f"{shared_dir(spark)}/keyed-round-trip"
+    text.coalesce(1).write.mode("overwrite").text(path)
+    out = ingest.read_keyed_json(spark, path, "struct<x:string>").select("key", "value.x", "ord")
+    return out.join(lex.numbered(out, "ord").withColumnRenamed("id", "place"), "ord").select("key", "x", "place")
+
+
+@query("""SELECT row_number() OVER (ORDER BY o) - 1 AS lemma_ord, title FROM (SELECT n_nationkey AS o, n_name AS title FROM nation WHERE n_nationkey % 5 <> 0)""")
+def title_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles listed page by page from a stand-in for the site, written as a cached list and read again; category pages are none."""
+    names = [("Category:" if r.n_nationkey % 5 == 0 else "") + r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+
+    def get(params: dict) -> dict:
+        at = int(params.get("cmcontinue", 0))
+        more = {"continue": {"cmcontinue": str(at + 7)}} if at + 7 < len(names) else {}
+        return {"query": {"categorymembers": [{"title": n} for n in names[at : at + 7]]}} | more
+
+    found = list(ingest.list_members(get, "C", retries=1, wait=0))
+    path = f"{shared_dir(spark)}/title-list"
+    spark.createDataFrame([(found,)], "lemmas array<string>").coalesce(1).select(F.to_json(F.struct("lemmas")).alias("value")).write.mode("overwrite").text(path)
+    return ingest.read_titles(spark, path, "demotic")
+
+
+def _answer(title: str) -> dict:
+    if title.startswith("red"):
+        return {"query": {"pages": {"-1": {}}}}
+    return {"query": {"pages": {"1": {"revisions": [{"slots": {"main": {"*": ingest.check_status(200, "text of " + title)}}}]}}}}
+
+
+@query("SELECT p_name AS title, CASE WHEN starts_with(p_name, 'red') THEN NULL ELSE 'text of ' || p_name END AS full_wikitext FROM part")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from a stand-in for the site; a missing page is a null text."""
+    return ingest.fetch_pages(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")), _answer, pause=0)
+
+
+@query("""SELECT regexp_extract(code, '^[A-Za-z]+', 0) AS series, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT s || i AS code FROM (VALUES ('A', 60), ('B', 20), ('C', 30), ('D', 70), ('E', 40), ('F', 60), ('G', 60), ('H', 10), ('I', 20), ('K', 10), ('L', 10), ('M', 50), ('N', 51), ('O', 60), ('P', 20), ('Q', 10), ('R', 30), ('S', 50), ('T', 40), ('U', 50), ('V', 40), ('W', 30), ('X', 10), ('Y', 10), ('Z', 20), ('Aa', 50)) v(s, m), LATERAL (SELECT unnest(range(m)) AS i)) GROUP BY 1""")
+def sign_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate sign codes by series, 911 in all."""
+    return tables.sign_list(spark).groupBy(F.regexp_extract("code", "^[A-Za-z]+", 0).alias("series")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS lemma_ord, 'm' || p_partkey || '|v' || p_partkey || '|z' || p_partkey AS chain FROM part WHERE p_partkey % 2 = 0""")
+def forms_own_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is derived from an alternative form's own entry hangs below that form."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    page = lambda title, base, body: part.select((F.col("p_partkey") + base).alias("lemma_ord"), F.concat(F.lit(title), F.col("p_partkey").cast("string")).alias("title"), F.lit("Coptic").alias("language"), F.expr(body).alias("full_wikitext"))
+    nl = " || chr(10) || "
+    head = f"'==Coptic=='{nl}'===Etymology==='{nl}"
+    noun = f"{nl}'===Noun==='{nl}'{{{{cop-noun}}}}'{nl}'# thing'"
+    pages = page("m", 0, f"{head}'{{{{bor|cop|grc|f}}}} {{{{alter|cop|v' || p_partkey || '|B}}}}'{noun}").union(page("v", 1000000, f"{head}'{{{{bor|cop|grc|f}}}}'{noun}{nl}'====Derived terms===='{nl}'{{{{l|cop|z' || p_partkey || '}}}}'"))
+    _, nodes, edges = nw.build_networks(wt.senses(wt.parse_pages(pages)).withColumn("language", F.lit("cop")))
+    named = g.with_ends(edges, nodes, "form")
+    first, then = named.where("type = 'VARIANT'"), named.where("type = 'DERIVED' and from_form like 'v%' and cast(split_part(network_id, '/', 2) as long) < 1000000").select("network_id", F.col("from").alias("to"), F.col("to_form").alias("z"))
+    rows = first.join(then, ["network_id", "to"])
+    return rows.select(F.substring("from_form", 2, 20).cast("long").alias("lemma_ord"), F.concat_ws("|", "from_form", "to_form", "z").alias("chain"))
+
+
+@query(f"""SELECT {_net('p_partkey')} AS network_id, {_net('p_partkey')} || '/r' AS id FROM part UNION ALL SELECT NULL, CAST(count(*) AS VARCHAR) FROM part""")
+def network_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of each network, and how many nodes all roots' ego graphs of degree 0 hold."""
+    part = table(spark, sf_dir, "part")
+    net = F.expr(_net("p_partkey"))
+    nodes = part.select(net.alias("network_id"), F.inline(F.array(F.struct(F.concat(net, F.lit("/x")).alias("id"), F.lit(1).alias("node_ord")), F.struct(F.concat(net, F.lit("/r")).alias("id"), F.lit(0).alias("node_ord")))))
+    edges = part.select(net.alias("network_id"), F.concat(net, F.lit("/r")).alias("from"), F.concat(net, F.lit("/x")).alias("to"))
+    roots = g.network_roots(nodes)
+    return roots.select("network_id", "id").union(g.ego_query(nodes, edges, degrees=0)[0].agg(F.count("*").cast("string").alias("n")).select(F.lit(None).cast("string"), "n"))
+
+
+@query(f"""WITH n AS (SELECT {_net('p_partkey')} AS net, p_brand, p_partkey, min({_net('p_partkey')}) OVER (PARTITION BY p_brand) AS low FROM part)
+SELECT low AS network_id, 'shared ' || p_brand AS "from", 'd' || p_partkey AS "to" FROM n UNION ALL SELECT low, 'd' || p_partkey, 'c' || p_partkey FROM n""")
+def networks_older_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged view: edges that leap over Demotic rerouted, networks with a common form made one."""
+    part, net = table(spark, sf_dir, "part"), F.expr(_net("p_partkey"))
+    key = F.col("p_partkey").cast("string")
+    node = lambda kind, lang, form, i: part.select(net.alias("network_id"), F.concat(F.lit(kind), key).alias("id"), F.lit(i).cast("long").alias("node_ord"), F.lit(lang).alias("language"), form.alias("form"), F.lit("").alias("period"), F.array().cast("array<string>").alias("dialects"), F.lit("").alias("hieroglyphs"), F.lit(0).alias("etymology_index"), F.array("p_type").alias("meanings"))
+    nodes = nw.union(node("e", "egy", F.concat(F.lit("shared "), "p_brand"), 0), node("d", "dem", F.concat(F.lit("d"), key), 1), node("c", "cop", F.concat(F.lit("c"), key), 2))
+    edge = lambda a, b, i: F.struct(F.concat(F.lit(a), key).alias("from"), F.concat(F.lit(b), key).alias("to"), F.lit(i).cast("long").alias("edge_ord"), F.lit("DESCENDS").alias("type"), F.lit("").alias("notes"))
+    edges = part.select(net.alias("network_id"), F.inline(F.array(edge("e", "d", 0), edge("e", "c", 1))))
+    networks = part.select(net.alias("network_id"), F.lit(0).alias("root_etymology_index"))
+    _, out, links = nw.merged_networks(nodes, edges, networks, spark.createDataFrame([("egy", "none")], "language string, form string"))
+    return g.with_ends(links, out, "form").select("network_id", F.col("from_form").alias("from"), F.col("to_form").alias("to"))
