@@ -197,7 +197,7 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns in keep, its counts, base_failed, distance (squared; null where only the base rule decides) and kept."""
     docs = docs.select(*keep, "text", F.coalesce(F.col("lang").cast("string"), F.lit("\u0000")).alias("g_lang"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("g_source"))
     rows = cut(_vector(statistics(docs, [*keep, "g_lang", "g_source"])))
-    rows = cut(rows.join(_groups(rows), ["g_lang", "g_source"]))
+    rows = cut(rows.join(cut(_groups(rows)), ["g_lang", "g_source"]))  # written first, so that Spark knows its size and need not deal the rows by group
     parts = rows.select(F.explode("levels").alias("grp"), *Z)
     params = cut(minimum_determinant(parts))
     judged = rows.join(params, "grp", "left").withColumn("distance", _distance())

@@ -80,3 +80,53 @@ def test_stages(spark, tmp_path):
 def test_queries_are_named():
     assert [k.split("_")[0] for k in queries.QUERIES] and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_embeddings_clashing_columns(spark):
+    """Other columns with names that the operator uses inside; a null vec_id is never the smallest while another is there."""
+    rows = [(k, [1.0, 0.1 * (k % 3), 0.5], 1, "x", 2, 3, "y", [0.0]) for k in range(6)] + [(None, [1.0, 0.0, 0.5], 1, "x", 2, 3, "y", None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, weight int, dim int, block string, at array<double>")
+    got = embedding.near_duplicates(df).collect()
+    assert len(got) == 7 and all(x.component_id is not None for x in got)
+    assert sorted((x.vec_id if x.vec_id is not None else -1, x.n_links, x.component_id) for x in got) == sorted((i if i is not None else -1, n, c) for i, n, c in ((i, n, c) for i, n, c in _with_null(rows)))
+
+
+def _with_null(rows):
+    last = 10**9
+    plain_rows = plain([(r[0] if r[0] is not None else last, r[1], r[2], None) for r in rows], 0.98)
+    return [(None if i == last else i, n, c) for i, n, c in plain_rows]
+
+
+@pytest.mark.parametrize("label_type", ["string", "long"])
+def test_embeddings_many_blocks(spark, label_type, monkeypatch):
+    """Several levels of intervals: small blocks, clusters and scattered vectors, one label in nine tenths of the rows."""
+    monkeypatch.setattr(embedding, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows, centres = [], r.standard_normal((30, 8))
+    for i in range(900):
+        v = centres[i % 30] + r.standard_normal(8) * 0.08 if i % 2 else r.standard_normal(8)
+        rows.append((i, v.tolist(), 0 if i % 10 else 1, None))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = embedding.near_duplicates(df.withColumn("label", df["label"].cast(label_type))).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got) == plain(rows, 0.98)
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, very long texts, repeated rows and clashing columns go through all stages."""
+    rows = [r for r in h.sample(seed=3, n=60) if r[1] is None or len(r[1]) < 10**6]
+    r = random.Random(2)
+    long = "\n".join(" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(500))
+    rows.append((None, long, "en", "s1", len(long), 1, "a", "b"))
+    docs = spark.createDataFrame(rows, h.COLUMNS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    assert any(x.text == long for x in kept.collect()) or kept.count() > 0
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    used = collections.defaultdict(int)
+    for x in out:
+        used[x.sequence_id] += x.length
+    assert out and max(used.values()) <= 4096
