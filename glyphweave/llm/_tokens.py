@@ -69,19 +69,21 @@ class WordTable:
         self.number: dict[bytes, int] = {}
         self.hash, self.start, self.flat, self.kept = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), None
 
-    def _ids(self, word: bytes) -> bytes:
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
         stem = word.rstrip(b".,;:!?")
-        if stem != word and letters_only(stem):
-            return self._part(stem) + self._part(word[len(stem) :])
-        return self._part(word)
-
-    def _part(self, word: bytes) -> bytes:
-        found = self.ids.get(word)
-        if found is None:
-            if len(self.ids) > self.most_parts:
-                self.ids.clear()
-            self.ids[word] = found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        return found
+        return (stem, word[len(stem) :]) if stem != word and letters_only(stem) else (word,)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words, many in one call: parted by blanks they are encoded as they are alone, and the offsets tell whose ids are whose."""
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            texts = [w.decode() for w in some]
+            found = self.encode(" ".join(texts), add_special_tokens=False)
+            size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            edge = 2 * np.append(np.searchsorted(begins, np.cumsum(size) - size), len(begins))
+            flat, edge = np.array(found.ids, "<u2").tobytes(), edge.tolist()
+            self.ids.update(zip(some, (flat[i:j] for i, j in zip(edge, edge[1:], strict=False)), strict=True))
 
     def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
         """The word numbers of some texts at a time (small ones together: new words are entered once for all)."""
@@ -93,7 +95,13 @@ class WordTable:
             first = len(self.number)
             self.number.update(zip(new, range(first, first + len(new)), strict=True))
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            ids = [self._ids(w) for w in new]
+            parts = [self._parts(w) for w in new]
+            unknown = set().union(*parts)
+            if len(self.ids) > self.most_parts:
+                self.ids.clear()
+            self._learn(list(unknown.difference(self.ids)))
+            known = self.ids.__getitem__
+            ids = [known(p[0]) if len(p) == 1 else known(p[0]) + known(p[1]) for p in parts]
             self.hash = np.concatenate((self.hash, h))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(i) // 2 for i in ids])))
             self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u2")))

@@ -65,6 +65,11 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 _MASK = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
+def row_sums(m: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept as an axis: a product with ones is several times as fast as sum() for short rows."""
+    return (m.reshape(-1, m.shape[-1]) @ np.ones((m.shape[-1], 1), m.dtype)).reshape(*m.shape[:-1], 1)
+
+
 def attend(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """For windows of ids: the output of the layer, and what training needs of the way there. Scores are bounded, so no maximum is taken off."""
     x = w["E"][ids] + w["P"]
@@ -73,18 +78,19 @@ def attend(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, ...]:
     np.clip(s, -30, 30, out=s)
     np.exp(s, out=s)
     s *= _MASK
-    s /= s.sum(-1, keepdims=True)
+    s /= row_sums(s)
     o = np.matmul(s, v)
     return x + o @ w["O"], x, q, k, v, s, o
 
 
 def class_log(w: dict[str, np.ndarray], y: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the class probability of each target class, for rows of y."""
-    z = y @ w["U"] + w["b"]
+    z = y @ w["U"]
+    z += w["b"]
     np.clip(z, -30, 30, out=z)
     hit = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    return hit - np.log(z.sum(-1))
+    return hit - np.log(row_sums(z)[:, 0])
 
 
 class Trainer:
@@ -100,10 +106,11 @@ class Trainer:
         w, grown = self.w, self.grown
         y, x, q, k, v, s, o = attend(w, source)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        z = flat(y) @ w["U"] + w["b"]
-        z -= z.max(-1, keepdims=True)
+        z = flat(y) @ w["U"]
+        z += w["b"]
+        np.clip(z, -30, 30, out=z)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
+        z /= row_sums(z)
         z[np.arange(len(z)), self.classes[target.ravel()]] -= 1
         z *= (real.ravel() / np.float32(max(1, real.sum())))[:, None]
         g = {"U": flat(y).T @ z, "b": z.sum(0)}
@@ -112,7 +119,9 @@ class Trainer:
         do = dy @ w["O"].T
         ds = np.matmul(do, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), do)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
+        ds -= row_sums(ds * s)
+        ds *= s
+        ds *= np.float32(WIDTH**-0.5)
         back = np.concatenate((np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv), -1)
         g["Q"], g["K"], g["V"] = np.split(flat(x).T @ flat(back), 3, -1)
         dx = dy + back @ np.hstack((w["Q"], w["K"], w["V"])).T
@@ -120,8 +129,9 @@ class Trainer:
         for name, d in g.items():
             grown[name] += d * d
             w[name] -= np.float32(RATE) * d / np.sqrt(grown[name])
-        order = np.argsort(source, axis=None, kind="stable")
-        which = source.ravel()[order]
+        which = source.ravel().astype(np.uint16)
+        order = np.argsort(which, kind="stable")
+        which = which[order]
         first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
         d = np.add.reduceat(flat(dx)[order], first)
         rows = which[first]
