@@ -153,6 +153,10 @@ def test_trees(spark):  # X4e, W8
     rows = spark.createDataFrame([(1, i, d) for i, d in enumerate((0, 2, 2))], "p int, ord int, depth int")
     parents = lambda df: [r.parent for r in df.orderBy("ord").collect()]
     assert parents(trees.parents(rows, "p")) == [None, 0, 0] and parents(trees.parents_by_stack(rows, "p")) == [None, 0, 1]
+    deep = spark.createDataFrame([(1, i, i) for i in range(20)], "p int, ord int, depth int")
+    assert parents(trees.parents(deep, "p")) == [None, *range(19)]
+    with pytest.raises(Exception, match="depth beyond 12 levels"):
+        trees.parents(deep, "p", levels=12).collect()
 
 
 PAGE = """==Egyptian==
@@ -199,6 +203,15 @@ def test_parser():  # X1-X11
     assert w.coded_forms("{{alter|cop|ⲁ|B|ⲃ}}") == [{"form": "ⲁ", "dialect": "Bohairic"}, {"form": "ⲃ"}]
 
 
+def test_best_match(spark):  # J7: the first of the part of speech, whatever the overlap; then overlap; then the lowest definition
+    rows = [("e", "Noun", ["a b"], i, o, pos, m, d) for i, o, pos, m, d in (("x", 2, "Noun", ["z"], 3), ("y", 3, "Noun", ["a b"], 0), ("w", 1, "Verb", ["a b"], 0))]
+    rows += [("f", None, ["a b c"], i, o, "Verb", m, d) for i, o, m, d in (("x", 1, ["a"], 0), ("y", 3, ["b C"], 4), ("w", 2, ["c b"], 5))]
+    rows += [("g", "Noun", ["q"], i, o, "Verb", ["a"], d) for i, o, d in (("x", 1, 2), ("y", 2, 1), ("w", 3, 1))]
+    rows += [("h", "Noun", [], i, o, "Verb", ["a"], d) for i, o, d in (("x", 1, 2), ("y", 2, None))]
+    df = spark.createDataFrame(rows, "e string, part_of_speech string, meanings array<string>, c_id string, c_ord long, c_pos string, c_meanings array<string>, c_def int")
+    assert {r.e: r.parent for r in networks.best_match(df, "e").collect()} == {"e": "x", "f": "w", "g": "y", "h": "y"}
+
+
 def test_networks(spark):  # G5-G11
     dem = "==Demotic==\n===Etymology===\n{{inh|egx-dem|egy|pr}}\n===Noun===\n{{egx-dem-noun}}\n# house\n"
     cop = "==Coptic==\n===Etymology===\n{{bor|cop|grc|φ}}\n===Noun===\n{{cop-noun}}\n# thing\n"
@@ -263,6 +276,34 @@ def test_sources(spark, tmp_path):  # S1-S8, K1, K2, F8
     assert {r.k: r.x for r in spark.read.parquet(path).collect()} == {1: "b", 2: "c"}
 
 
+def test_upsert_after_a_crash(spark, tmp_path):  # K1
+    """Whatever step a writer died at, the next call finds a whole table."""
+    row = lambda k, v, x: spark.createDataFrame([(k, v, x)], "k int, v int, x string")
+    read = lambda path: {r.k: r.x for r in spark.read.parquet(path).collect()}
+    for step in ("next whole", "next broken", "only last"):
+        path = str(tmp_path / step.replace(" ", "-"))
+        if step == "next whole":  # died between the two renames, the new table is whole
+            row(1, 2, "new").write.parquet(path + ".next")
+            row(1, 1, "old").write.parquet(path + ".last")
+        else:
+            row(1, 1, "old").write.parquet(path + (".last" if step == "only last" else ""))
+            if step == "next broken":  # died while writing
+                (tmp_path / "next-broken.next").mkdir()
+        ingest.upsert_path(spark, path, row(2, 1, "b"), ["k"], "v")
+        assert read(path) == {1: "new" if step == "next whole" else "old", 2: "b"}
+
+
+def test_shared_folder_is_asked_for():
+    """Off a local master, a missing spark.checkpoint.dir is an error."""
+    from types import SimpleNamespace
+
+    from glyphweave.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_stream(spark, tmp_path):
     from glyphweave.streaming import upserts
 
