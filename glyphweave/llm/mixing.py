@@ -81,7 +81,7 @@ def _stretches(ranked: DataFrame, goal: DataFrame) -> DataFrame:
         met = state.join(stop, F.col("__s").eqNullSafe(F.col("__t")), "left").join(whole, F.col("__s").eqNullSafe(F.col("__w")), "left")
         this = F.struct("after", F.col("stop.before").alias("before"), F.col("gap").alias("most"))
         took = F.coalesce("stop.took", "whole", F.lit(0))
-        state = cut(met.select("__s", F.when(F.col("open"), F.col("gap") - took).otherwise(F.col("gap")).alias("gap"), F.col("stop.before").alias("after"), F.when(F.col("open"), F.array_append("stretches", this)).otherwise(F.col("stretches")).alias("stretches"), (F.col("open") & F.col("stop").isNotNull()).alias("open")))
+        state = cut(met.select("__s", F.when(F.col("open"), F.col("gap") - took).otherwise(F.col("gap")).alias("gap"), F.col("stop.before").alias("after"), F.when(F.col("open"), F.array_append("stretches", this)).otherwise(F.col("stretches")).alias("stretches"), (F.col("open") & F.col("stop").isNotNull() & (F.col("gap") - took >= 1)).alias("open")))
     return state.select("__s", "gap", "stretches")
 
 
