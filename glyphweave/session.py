@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go as soon as it has run (the plan runs once), and rows go to Python in batches that
+#: stay small where rows are whole texts.
+WHILE_CUT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def local_session(cpus: str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -38,14 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def passing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Inside, a query's shuffle files go as soon as it has run; for plans that run once, since their result is written."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside, and are as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -56,7 +63,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with passing_shuffles(spark):
+    with settings(spark, WHILE_CUT):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
