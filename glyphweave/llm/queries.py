@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphweave.llm import embedding, jaccard, lines, lm, mixing, packing, passages, pii, quality, secrets
-from glyphweave.session import table
+from glyphweave.llm import centroids, divergence, embedding, jaccard, lines, lm, mixing, packing, passages, pii, quality, secrets, sharding
+from glyphweave.session import shared_dir, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,19 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = sharding.ShardMaps(spark, f"{shared_dir(spark)}/shard-maps-{uuid.uuid4().hex}")
+    return sharding.shard(table(spark, sf_dir, "documents"), maps, shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
@@ -69,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_sharding": op13_sharding,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
@@ -92,6 +109,31 @@ _SECRETS = (
 )
 _KIND_NAMES = "['assign', 'access', 'hex', 'private_key', 'web_token', 'hosted_token', 'url_login', 'upper_hex']"
 
+def _lloyd(clusters: int, rounds: int, dims: int) -> str:
+    """Lloyd rounds in SQL: each round is a table of assignments and one of centroids; HUGEINT sums, floor by remainders."""
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: CAST(p[1] - p[2] AS HUGEINT) * (p[1] - p[2])))"
+    assigned = lambda k: f"a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := {apart}, cluster := cluster)) AS m FROM kept, c{k} GROUP BY r)"
+    moved = lambda k: f"""c{k} AS MATERIALIZED (SELECT cluster, list(f ORDER BY i) AS c FROM (SELECT m.cluster AS cluster, i, CAST((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS f FROM a{k - 1}, range(1, {dims + 1}) t(i) GROUP BY 1, 2) GROUP BY cluster
+  UNION ALL SELECT cluster, c FROM c{k - 1} WHERE cluster NOT IN (SELECT m.cluster FROM a{k - 1}))"""
+    steps = ", ".join(f"{assigned(k)}, {moved(k + 1)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v AS c FROM kept QUALIFY cluster < {clusters}), {steps}, {assigned(rounds)},
+g AS (SELECT m.cluster AS cluster, CAST(sum(m.d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(m.cluster AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM g) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN g ON g.cluster = m.cluster JOIN c{rounds} ON c{rounds}.cluster = m.cluster"""
+
+
+def _nibble(c: str) -> str:
+    """SQL of one step of CRC-32 over the low four bits of c, by its rule."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    return f"xor(({c}) >> 4, ({table}::BIGINT[])[(({c}) & 15) + 1])"
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -134,4 +176,28 @@ WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_CLOSURE},
 n AS (SELECT a AS node, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.node = vec_id LEFT JOIN c ON c.node = vec_id""",
+    "op11_centroid_clustering": _lloyd(40, 5, 64),
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang AS lang, (SELECT count(*) FROM kept WHERE kept.lang = g.lang) AS v, (SELECT coalesce(sum(n), 0) FROM kept WHERE kept.lang = g.lang) AS total FROM (SELECT DISTINCT lang FROM g) g),
+c AS MATERIALIZED (SELECT g.lang, g.source, kept.term, kept.n AS lang_n, coalesce(n.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT c.lang, c.source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (t.total + v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (v.total + v) AS q FROM c JOIN t USING (lang, source) JOIN v ON v.lang = c.lang),
+f AS (SELECT a.lang AS lang, a.source AS source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op13_sharding": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+r AS MATERIALIZED (SELECT doc_id, hash, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(CAST('0x' || substr(hash, 1, 12) AS BIGINT) % 4096 AS INTEGER) AS virtual_slot,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(x, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: {_nibble(_nibble("xor(c, b)"))})) AS text_crc32 FROM d),
+s AS MATERIALIZED (SELECT virtual_slot, sum(size) AS size, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS i FROM r GROUP BY virtual_slot),
+dealt(i, loads, shard) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::HUGEINT[], 0::INTEGER
+  UNION ALL SELECT s.i, list_transform(loads, lambda w, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN w + s.size ELSE w END), CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM dealt JOIN s ON s.i = dealt.i + 1)
+SELECT doc_id, r.size AS size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY hash, r.size, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
+FROM r JOIN s USING (virtual_slot) JOIN dealt ON dealt.i = s.i""",
 }
