@@ -14,18 +14,19 @@ def _first_name(label: Column, names, value) -> Column:
     return F.coalesce(*[F.when(F.lower(label).contains(n.lower()), F.lit(value(n))) for n in names])
 
 
-def period(label: Column) -> Column:
-    """P15."""
-    n = F.regexp_extract(label, r"(?i)(\d+)(?:st|nd|rd|th)\s+Dynasty", 1)
-    return F.when(F.coalesce(label, F.lit("")) == "", F.lit(None).cast("string")).otherwise(F.coalesce(_first_name(label, t.PERIODS, lambda n: n), F.when(n != "", F.concat(n, F.lit("th Dynasty"))), label))
+def period(label: Column, older: bool = False) -> Column:
+    """P15. older: by the older builder's list, and "Dynasty" only as it is written."""
+    n = F.regexp_extract(label, ("" if older else "(?i)") + r"(\d+)(?:st|nd|rd|th)\s+Dynasty", 1)
+    return F.when(F.coalesce(label, F.lit("")) == "", F.lit(None).cast("string")).otherwise(F.coalesce(_first_name(label, t.OLDER_PERIODS if older else t.PERIODS, lambda n: n), F.when(n != "", F.concat(n, F.lit("th Dynasty"))), label))
 
 
-def period_rank(label: Column) -> Column:
-    """P16."""
+def period_rank(label: Column, older: bool = False) -> Column:
+    """P16. older: by the older builder's ranks, for any ordinal number."""
+    ranks, dynasties = (t.OLDER_PERIOD_RANKS, t.OLDER_DYNASTY_RANKS) if older else (t.PERIOD_RANKS, t.DYNASTY_RANKS)
     n = F.regexp_extract(label, r"(\d+)(?:st|nd|rd|th)", 1).try_cast("int")
-    bucket = reduce(lambda c, x: c.when(n <= x[0], x[1]), t.DYNASTY_RANKS[1:], F.when(n <= t.DYNASTY_RANKS[0][0], t.DYNASTY_RANKS[0][1])).otherwise(t.LATER_DYNASTY)
-    dynasty = F.when(F.lower(label).contains("dynasty") & n.isNotNull(), bucket)
-    return F.when(F.coalesce(label, F.lit("")) == "", t.NO_DATE).otherwise(F.coalesce(_first_name(label, t.PERIOD_RANKS, t.PERIOD_RANKS.get), dynasty, F.lit(t.OTHER_DATE)))
+    bucket = reduce(lambda c, x: c.when(n <= x[0], x[1]), dynasties[1:], F.when(n <= dynasties[0][0], dynasties[0][1])).otherwise(t.LATER_DYNASTY)
+    dynasty = F.when(n.isNotNull() & (F.lit(older) | F.lower(label).contains("dynasty")), bucket)
+    return F.when(F.coalesce(label, F.lit("")) == "", t.NO_DATE).otherwise(F.coalesce(_first_name(label, ranks, ranks.get), dynasty, F.lit(t.OTHER_DATE)))
 
 
 def form_type(title: Column, note: Column) -> Column:
@@ -49,7 +50,8 @@ def is_alternative(meanings: Column) -> Column:
 
 def alternative_target(meanings: Column) -> Column:
     """P19b."""
-    found = F.transform(meanings, lambda m: F.rtrim(F.regexp_extract(m, r"(?U)(?:\[[^\]]+\]\s*)?[Aa]lternative form of\s+(.+?)(?:\s|$)", 1), F.lit(".,;:")))
+    named = lambda m: F.regexp_extract(m, r"(?U)(?:\[[^\]]+\]\s*)?[Aa]lternative form of\s+(.+?)(?:\s|$)", 1)
+    found = F.transform(meanings, lambda m: F.trim(F.regexp_replace(F.regexp_replace(named(m), "[.,;!?]$", ""), r"\{\{.*?\}\}", "")))
     return F.get(F.filter(found, lambda x: x != ""), F.lit(0))
 
 
@@ -60,6 +62,14 @@ def ancestor(etymology: Column, language: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(form, "<[^>]*>", "")), F.lit(""))
 
 
+def older_ancestor(etymology: Column, code: str) -> Column:
+    """P20 of the older builder, as a struct (language, form): what the first inh template of the language names, else the first m template; null without one."""
+    part = lambda pattern, k: F.trim(F.regexp_extract(etymology, pattern, k))
+    inherited, mentioned = r"\{\{inh\|" + code + r"\|([^|]+)\|([^|}\s]+)", r"\{\{m\|([^|]+)\|([^|}\s]+)"
+    form = F.regexp_replace(part(inherited, 2), "<hiero>.*?</hiero>", "")
+    return F.when(F.regexp_like(etymology, F.lit(inherited)), F.struct(part(inherited, 1).alias("language"), form.alias("form"))).when(F.regexp_like(etymology, F.lit(mentioned)), F.struct(part(mentioned, 1).alias("language"), part(mentioned, 2).alias("form")))
+
+
 def descendant_language(code: Column) -> Column:
     """P21."""
     return F.coalesce(t.lookup(t.DESCENDANT_CODES, code), code)

@@ -1,6 +1,6 @@
 """Graph queries over edges (network_id, from, to, type) and nodes (network_id, id, ...): G1-G4, G12-G15, G17, G18, A3, K5, R1, R10, J9, J10, J12, J14.
 
-Closures run as frontiers: each round joins the new nodes to the edges and drops what was seen, and cuts lineage.
+Closures go through an index by powers of two (operators.reach).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphweave.functions.tables import EDGE_TYPES, OTHER_DATE
+from glyphweave.operators import reach
 from glyphweave.operators.components import connected_components
 from glyphweave.session import cut
 
@@ -38,32 +39,33 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(a, "from").join(b, ["seed", "to"]).select("seed", *[c for c in edges.columns if c != "seed"])
 
 
-def closure(steps: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """(seed, node) reachable from start (seed, node) by steps (a, b)."""
-    seen = cut(start.select("seed", "node").distinct())
-    new = seen
-    for _ in range(most):
-        step = new.join(steps, new["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        new = cut(step.join(seen, ["seed", "node"], "left_anti"))
-        if not new.take(1):
-            return seen
-        seen = cut(seen.unionByName(new))
-    raise RuntimeError(f"no end after {most} rounds")
+def closure(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(seed, node) reachable from start (seed, node) by steps (a, b), in rounds by the logarithm of the depth. Many starts share one index: see reach.index()."""
+    return reach.closure(reach.index(steps), start)
+
+
+def ancestry_index(edges: DataFrame, siblings: bool = True) -> reach.Reach:
+    """Ancestors by DESCENDS, EVOLVES and COMPONENT; with siblings, nodes that VARIANT or DERIVED edges join stand for each other. One index serves any number of seeds."""
+    up = edges.where(F.col("type").isin(*ANCESTRY)).select(F.col("to").alias("a"), F.col("from").alias("b"))
+    ties = edges.where(F.col("type").isin(*SIBLINGS)).select(F.col("from").alias("a"), F.col("to").alias("b")) if siblings else None
+    return reach.index(up, ties)
 
 
 def ancestry(edges: DataFrame, seeds: DataFrame, siblings: bool = True, descendants: bool = False) -> DataFrame:
     """(seed, node): ancestors by DESCENDS, EVOLVES and COMPONENT; siblings by VARIANT and DERIVED and their ancestors; descendants of the seed alone."""
-    line = edges.where(F.col("type").isin(*ANCESTRY))
-    up = line.select(F.col("to").alias("a"), F.col("from").alias("b"))
-    if siblings:
-        up = up.union(both_ways(edges.where(F.col("type").isin(*SIBLINGS)))).distinct()
     start = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"))
-    out = closure(up, start)
+    out = reach.closure(ancestry_index(edges, siblings), start)
     if descendants:
-        out = out.union(closure(line.select(F.col("from").alias("a"), F.col("to").alias("b")), start)).distinct()
+        down = edges.where(F.col("type").isin(*ANCESTRY)).select(F.col("from").alias("a"), F.col("to").alias("b"))
+        out = out.union(closure(down, start)).distinct()
     return out
 
 
+def root_ancestries(nodes: DataFrame, edges: DataFrame, siblings: bool = True) -> DataFrame:
+    """(seed, node) for the root of every network at once."""
+    return ancestry(edges, network_roots(nodes).select("id").distinct(), siblings)
+
+
 def network_roots(nodes: DataFrame) -> DataFrame:
     """The first node of each network."""
     return nodes.groupBy("network_id").agg(F.min_by("id", "node_ord").alias("id"))
@@ -237,10 +239,10 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def sequential_ids(df: DataFrame, prefix: str, *order: str | Column, column: str = "id") -> DataFrame:
+def sequential_ids(df: DataFrame, prefix: str, *order: str | Column, column: str = "id", start: int = 1) -> DataFrame:
     """Prefix and a number of five digits or more in order; numbered within ranges of the order, so that no task sorts all rows."""
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy(*order)
     base = ranged.groupBy("__part").count()
     base = base.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return ranged.withColumn("__n", F.row_number().over(w)).join(F.broadcast(base), "__part").withColumn(column, F.format_string(prefix + "%05d", F.col("__base") + F.col("__n"))).drop("__part", "__n", "__base")
+    return ranged.withColumn("__n", F.row_number().over(w)).join(F.broadcast(base), "__part").withColumn(column, F.format_string(prefix + "%05d", F.col("__base") + F.col("__n") + (start - 1))).drop("__part", "__n", "__base")

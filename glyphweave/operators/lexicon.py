@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphweave.functions import text as tx
+from glyphweave.operators import trie
 from glyphweave.session import cut
 
+MOST_SIGNS = 100_000
+
 FIELDS = ("hieroglyphs", "transliteration", "UPOS", "lemmatization", "glossing", "translation", "dateNotBefore", "dateNotAfter")
 
 
@@ -90,26 +93,21 @@ def affix_match(words: DataFrame, variants: DataFrame, key: str = "word_id") ->
     return words.join(best, key, "left")
 
 
-def segment(words: DataFrame, signs: list[str]) -> DataFrame:
+def segment(words: DataFrame, signs: list[str] | DataFrame, most: int = MOST_SIGNS) -> DataFrame:
     """Greedy longest-prefix segmentation against a sign list; unknown code points stand alone. words needs a column glyph.
 
-    The list is a table of signs, bounded by the script; it goes to the tasks as a dictionary by first character, longest first.
+    A list of signs is bounded by the script: a table (one column) with more than `most` of them is an error. It goes to the tasks as a trie,
+    which all places of a batch walk at once.
     """
-    by_first: dict[str, list[str]] = {}
-    for s in sorted((s for s in signs if s), key=lambda s: -len(s)):
-        by_first.setdefault(s[0], []).append(s)
+    if isinstance(signs, DataFrame):
+        signs = [r[0] for r in signs.distinct().limit(most + 1).collect() if r[0]]
+    if len(signs) > most:
+        raise ValueError(f"more than {most} signs")
+    made = trie.build(signs)
 
     @F.pandas_udf("array<struct<glyph:string,known:boolean>>")
     def cut_up(words: pd.Series) -> pd.Series:
-        def one(w: str | None) -> list[dict]:
-            out, i = [], 0
-            while w and i < len(w):
-                hit = next((s for s in by_first.get(w[i], ()) if w.startswith(s, i)), None)
-                out.append({"glyph": hit or w[i], "known": hit is not None})
-                i += len(hit or w[i])
-            return out
-
-        return words.map(one)
+        return pd.Series(trie.segments(made, [w if isinstance(w, str) else None for w in words]))
 
     return words.withColumn("segments", cut_up("glyph"))
 

@@ -311,15 +311,16 @@ def parse_page(text: str | None, language: str) -> dict:
     return out
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Pages (lemma_ord, title, language, full_wikitext) as nested rows; all three languages."""
+def parse_pages(pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pages (lemma_ord, title, language, full_wikitext) as nested rows; all three languages. parts: deal the pages anew into so many parts, for inputs of few files."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = [{"lemma_ord": r.lemma_ord, "lemma": r.title, "language": r.language} | parse_page(r.full_wikitext, r.language) for r in pdf.itertuples()]
             yield pd.DataFrame(rows, columns=["lemma_ord", "lemma", "language", "pronunciations", "etymologies", "references"])
 
-    return pages.select("lemma_ord", "title", "language", "full_wikitext").mapInPandas(run, PAGE)
+    rows = pages.select("lemma_ord", "title", "language", "full_wikitext")
+    return (rows.repartition(parts) if parts else rows).mapInPandas(run, PAGE)
 
 
 def senses(parsed: DataFrame) -> DataFrame:

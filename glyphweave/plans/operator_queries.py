@@ -7,6 +7,7 @@ give for them, case by case, and repeats no logic of the library.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from glyphweave.operators import chronology as ch, graph as g, lexicon as lex, n
 from glyphweave.plans.driver_queries import EDGES, FORMS, NODES, event_forms, property_graph
 from glyphweave.session import shared_dir, table
 from glyphweave.sources import ingest
+from glyphweave.sources.keyed_table import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -281,21 +283,23 @@ def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS sent_ord, p_name AS transliteration, p_type AS translation, NULL AS glossing FROM part")
 def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus written as JSON lines and read again; the part key travels as a date."""
-    path = f"{shared_dir(spark)}/corpus-round-trip"
+    path = f"{shared_dir(spark)}/corpus-round-trip-{uuid.uuid4().hex}"
     ingest.overwrite_json(table(spark, sf_dir, "part").select(F.col("p_name").alias("transliteration"), F.col("p_type").alias("translation"), F.col("p_partkey").cast("string").alias("dateNotBefore")), path)
     return ingest.read_corpus(spark, path).select(F.col("dateNotBefore").cast("long").alias("sent_ord"), "transliteration", "translation", "glossing")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2 UNION ALL SELECT NULL, 'missing', count(*) FROM region WHERE r_regionkey < 0")
 def table_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches upserted into a table on disk; a table that is not there reads as empty."""
-    path = f"{shared_dir(spark)}/table-upserts"
+    """Three batches upserted into a bucketed table on disk, whose last version is read; a table that is not there reads as empty."""
+    path = f"{shared_dir(spark)}/table-upserts-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    ingest.append(e.where("false"), path)
+    kept = KeyedTable.make(spark, path, e.schema, ["user_id", "event_type"], "event_id", buckets=8)
+    kept.append(e.where("false"))
     for k in range(3):
-        ingest.upsert_path(spark, path, ingest.upsert(e.where("false"), e.where(F.col("event_id") % 3 == (2 * k) % 3), ["user_id", "event_type"], "event_id"), ["user_id", "event_type"], "event_id")
+        kept.upsert(e.where(F.col("event_id") % 3 == (2 * k) % 3))
+    kept.vacuum()
     none = ingest.read_if_there(spark, path + "-none", e.schema).agg(F.count("*").alias("n"))
-    return spark.read.parquet(path).select("user_id", "event_type", "event_id").union(none.select(F.lit(None).cast("long"), F.lit("missing"), "n"))
+    return kept.read().union(none.select(F.lit(None).cast("long"), F.lit("missing"), "n"))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,9 +337,10 @@ def token_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_partkey AS word_id, p_brand || '+|' || {NOUN} || '+|x-' AS segments FROM part")
 def sign_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest sign first; what is no sign stands alone."""
-    nouns = [r.x for r in table(spark, sf_dir, "part").select(F.expr(NOUN).alias("x")).distinct().collect()]  # a sign list: bounded by the script
-    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("word_id"), F.concat("p_brand", F.expr(NOUN), F.lit("x")).alias("glyph"))
-    out = lex.segment(words, [*nouns, *[n[:2] for n in nouns], *[f"Brand#{i}" for i in range(1, 60)]])
+    part, noun = table(spark, sf_dir, "part"), F.expr(NOUN)
+    signs = part.select(noun.alias("sign")).union(part.select(F.substring(noun, 1, 2))).union(part.select("p_brand")).distinct()
+    words = part.select(F.col("p_partkey").alias("word_id"), F.concat("p_brand", noun, F.lit("x")).alias("glyph"))
+    out = lex.segment(words, signs)
     return out.select("word_id", joined(F.transform("segments", lambda s: F.concat(s["glyph"], F.when(s["known"], "+").otherwise("-")))).alias("segments"))
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from glyphweave.plans import driver_queries as dq, operator_queries as oq
+from glyphweave.plans import driver_queries as dq, network_queries as nq, operator_queries as oq
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels pages conversations".split()
@@ -33,6 +33,12 @@ def test_operators_against_sql(spark, db, name):
     assert rows(oq.QUERIES[name](spark, SF).toPandas()) == rows(db.sql(oq.ORACLE[name]).df())
 
 
+@pytest.mark.parametrize("name", list(nq.QUERIES))
+def test_networks_against_sql(spark, db, name):
+    assert rows(nq.QUERIES[name](spark, SF).toPandas()) == rows(db.sql(nq.ORACLE[name]).df())
+
+
 def test_contract(spark):
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(dq.QUERIES) == set(dq.ORACLE) and set(oq.QUERIES) == set(oq.ORACLE) and not set(dq.QUERIES) & set(oq.QUERIES)
+    made = [m.QUERIES for m in (dq, oq, nq)]
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and all(set(m.QUERIES) == set(m.ORACLE) for m in (dq, oq, nq)) and sum(map(len, made)) == len(set().union(*made))
     assert entry.entry(spark).count() > 0
