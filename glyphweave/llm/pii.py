@@ -7,10 +7,15 @@ Each value is put into one canonical form first (the digits of a number, the day
 that: so equal values get equal pseudonyms in all documents and all notations, unlike values unlike ones. Nothing is
 looked up or gathered; every row is rewritten by itself, on DataFrame functions.
 
+A pseudonym is of its value's kind: a social security number's area, group and serial stay ones that are given out, a telephone number that starts with
+2 to 9 gets one that does, and a date keeps its notation and order of day and month. Days up to the 12th are permuted among themselves and later
+ones likewise, since only those tell day from month where the usual order of a notation is turned round.
+
 Edge cases: null and empty texts stay; text without personal data stays as it is, to the letter; ties and repeated rows get equal pseudonyms;
 other columns are kept, but for
-those named as the counts. What fails its validation (Luhn test, check digits, calendar, octets) is left as it is, and so is a date outside DAY_ONE + DAYS.
-Ten digits in a row are a telephone number unless they start with 0 or 1. Of a local part in another script each character stays within its sixteen neighbours.
+those named as the counts. What fails its validation (Luhn test, check digits, calendar, octets) is left as it is, and so is a date outside the MONTHS_IN from DAY_ONE on.
+Ten digits in a row are a telephone number unless they start with 0 or 1. Left as they are: the domain of an e-mail address, the country code of a telephone number
+and of an account, national telephone numbers with a leading zero, nine digits in a row, accounts in lower case. Of a local part in another script each character stays within its sixteen neighbours.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from glyphweave.llm._expr import let
 KINDS = ("email", "phone", "ssn", "card", "ip", "date", "iban", "ipv6")
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-_MONTH = "(?:" + "|".join(MONTHS) + ")"
+_MONTH = "(?:" + "|".join([*MONTHS, *[m[:3] for m in MONTHS if len(m) > 3]]) + ")"
+_NTH = "(?:st|nd|rd|th)?"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
@@ -31,15 +37,18 @@ PATTERNS = {
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "ip": rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.[0-9])",
-    "date": rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9]{{2}}:|{_END})|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}{_END}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}{_END}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}{_END})",
+    "date": rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9]{{2}}:|{_END})|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}{_END}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}{_END}|[0-9]{{1,2}}{_NTH} {_MONTH} [0-9]{{4}}{_END}|{_MONTH} [0-9]{{1,2}}{_NTH}, [0-9]{{4}}{_END})",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)",
     "ipv6": rf"(?<![:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![:.]?[0-9A-Fa-f:])",
 }
 #: In the order of KINDS, but card numbers last: what another kind fits is not taken for one.
 PATTERN = "(?:" + "|".join(("" if k in ("email", "phone") else _EDGE) + ("(?<![0-9A-Za-z+(])" if k == "phone" else "") + PATTERNS[k] + ("" if k in ("date", "ipv6") else _END) for k in ("email", "iban", "ipv6", "phone", "ip", "date", "ssn", "card")) + ")"
 ROUNDS = 8
-DAY_ONE, SIDE = "1850-01-01", 316
-DAYS = SIDE * SIDE
+#: Dates of this many months from DAY_ONE on: EARLY days up to the 12th, LATE ones after it, each number as the product it is permuted by.
+DAY_ONE, MONTHS_IN = "1850-01-01", 3281
+EARLY, LATE = (193, 204), (230, 263)
+#: Areas, groups and serials of social security numbers: 898 * 99 * 9999 as two factors.
+SSNS = (898 * 33, 3 * 9999)
 
 
 def _prf(key: str, *parts: Column) -> Column:
@@ -82,6 +91,16 @@ def feistel_number(value: Column, side: int, key: str) -> Column:
     return F.aggregate(rounds, begin, lambda s, r: F.struct(s["b"].alias("a"), ((s["a"] + _prf(key, r, F.lit(side), s["b"])) % side).alias("b")), lambda s: s["a"] * side + s["b"])
 
 
+def feistel_pair(value: Column, a: Column | int, b: Column | int, key: str) -> Column:
+    """Permute the whole numbers below a * b: rounds move the quotient and the remainder by b in turn."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+    begin = F.struct(((value - value % b) / b).cast("long").alias("x"), (value % b).cast("long").alias("y"))
+    rounds = F.array(*[F.lit(r) for r in range(ROUNDS)])
+    moved = lambda at, size, r, other: ((at + _prf(key, r, size, other)) % size).cast("long")
+    step = lambda s, r: F.when(r % 2 == 0, F.struct(moved(s["x"], a, r, s["y"]).alias("x"), s["y"].alias("y"))).otherwise(F.struct(s["x"].alias("x"), moved(s["y"], b, r, s["x"]).alias("y")))
+    return F.aggregate(rounds, begin, step, lambda s: (s["x"] * b + s["y"]).cast("long"))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -110,10 +129,33 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the rest is permuted."""
+    """The country code stays; the rest is permuted, numbers from 2 on among themselves and those from 0 or 1 likewise."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, let(rest, lambda r: _refill(r, let(digits(r), lambda d: feistel_text(d, key + "/phone")))))
+    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+
+    def new(d: Column) -> Column:
+        n = F.length(d)
+        high = d >= "2"
+        low, many = F.when(high, 2).otherwise(0).cast("long") * ten(n - 1), F.when(high, 8).otherwise(2).cast("long")
+        half = F.floor((n - 1) / 2)
+        moved = feistel_pair(d.cast("long") - low, many * ten(n - 1 - half), ten(half), key + "/phone")
+        return F.lpad((moved + low).cast("string"), n, F.lit("0"))
+
+    return F.concat(code, let(rest, lambda r: _refill(r, let(digits(r), new))))
+
+
+def _ssn(m: Column, key: str) -> Column:
+    part = lambda at, n: F.substring(m, at, n).cast("long")
+    area = part(1, 3) - 1
+    rank = ((area - F.when(area > 665, 1).otherwise(0)) * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1
+
+    def written(r: Column) -> Column:
+        serial, group, area = r % 9999 + 1, F.floor(r / 9999) % 99 + 1, F.floor(r / (99 * 9999)) + 1
+        filled = lambda c, n: F.lpad(c.cast("string"), n, "0")
+        return F.concat_ws("-", filled(area + F.when(area > 665, 1).otherwise(0), 3), filled(group, 2), filled(serial, 4))
+
+    return let(feistel_pair(rank, *SSNS, key + "/ssn"), written)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -173,46 +215,74 @@ def _iban(m: Column, key: str) -> Column:
 
 def _parts(m: Column) -> Column:
     """A date with a month's name as numbers: day, month and year, parted by dots."""
-    number = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("string")
+    number = lambda name: F.array_position(F.array(*[F.lit(x[:3]) for x in MONTHS]), F.substring(name, 1, 3)).cast("string")
     words = F.split(F.replace(m, F.lit(","), F.lit("")), " ")
     first, second, year = (F.get(words, F.lit(k)) for k in range(3))
     day, month = F.when(m.rlike("^[0-9]"), first).otherwise(second), F.when(m.rlike("^[0-9]"), second).otherwise(first)
-    return F.when(m.rlike("[a-z]"), F.concat_ws(".", day, number(month), year)).otherwise(m)
+    return F.when(m.rlike("[a-z]"), F.concat_ws(".", digits(day), number(month), year)).otherwise(m)
 
 
-def _day(m: Column) -> Column:
-    """The days from DAY_ONE to a date; null if it is none or out of range.
+def _read(m: Column) -> Column:
+    """(month: its number from DAY_ONE's on, day, turned) of a date; null if it is none or out of range.
 
-    Year first if it stands first, else day first if dots or hyphens part it and month first if strokes do (the other order where only that is a date).
+    Year first if it stands first, else day first if dots or hyphens part it and month first if strokes do; turned: the other order, where only that is a date.
     """
 
-    def day_of(p: Column) -> Column:
+    def read(p: Column) -> Column:
         num = lambda k: F.get(p, F.lit(k)).cast("int")
         iso, dots = F.length(F.get(p, F.lit(0))) == 4, ~m.contains("/")
         year = F.when(iso, num(0)).otherwise(num(2))
-        swap = ~iso & F.when(dots, num(1) > 12).otherwise(num(0) <= 12)
-        month = F.when(iso, num(1)).when(swap, num(0)).otherwise(num(1))
-        day = F.when(iso, num(2)).when(swap, num(1)).otherwise(num(0))
-        ok = (year >= 1850) & (year <= 2123) & month.between(1, 12) & (day >= 1)
-        first = F.when(ok, F.make_date(year, month, F.lit(1)))
-        at = F.datediff(first, F.lit(DAY_ONE).cast("date")) + day - 1
-        return F.when((day <= F.day(F.last_day(first))) & (at < DAYS), at)
+        turned = ~iso & F.when(dots, num(1) > 12).otherwise(num(0) > 12)
+        month_first = ~iso & (dots == turned)
+        month = F.when(iso, num(1)).when(month_first, num(0)).otherwise(num(1))
+        day = F.when(iso, num(2)).when(month_first, num(1)).otherwise(num(0))
+        at = (year - 1850) * 12 + month - 1
+        ok = month.between(1, 12) & (day >= 1) & at.between(0, MONTHS_IN - 1)
+        days = F.when(ok, F.day(F.last_day(F.make_date(year, month, F.lit(1)))))
+        return F.when(day <= days, F.struct(at.alias("month"), day.alias("day"), turned.alias("turned")))
+
+    return let(F.split(_parts(m), "[./-]"), read)
+
+
+def _month_start(month: Column) -> Column:
+    """Days from DAY_ONE to a month's first, without the first twelve of each month before it."""
+    return F.datediff(F.add_months(F.lit(DAY_ONE).cast("date"), month), F.lit(DAY_ONE).cast("date")) - 12 * month
+
 
-    return let(F.split(_parts(m), "[./-]"), day_of)
+def _moved(read: Column, key: str) -> Column:
+    """The date that a date turns into."""
+    early = feistel_pair((read["month"] * 12 + read["day"] - 1).cast("long"), *EARLY, key + "/date")
+    late = feistel_pair((_month_start(read["month"]) + read["day"] - 13).cast("long"), *LATE, key + "/date")
+    date = lambda month, day: F.date_add(F.add_months(F.lit(DAY_ONE).cast("date"), month.cast("int")), (day - 1).cast("int"))
+
+    def found(rank: Column) -> Column:
+        # a month has 18.4 late days on average, and no month is off by more than one
+        near = F.floor(rank * MONTHS_IN / (LATE[0] * LATE[1])).cast("int")
+        month = F.when(_month_start(near + 1) <= rank, near + 1).when(_month_start(near) <= rank, near).otherwise(near - 1)
+        return let(month, lambda k: date(k, rank - _month_start(k) + 13))
+
+    return F.when(read["day"] <= 12, let(early, lambda r: date(F.floor(r / 12), r % 12 + 1))).otherwise(let(late, found))
 
 
 def _date(m: Column, key: str) -> Column:
-    to = F.date_add(F.lit(DAY_ONE).cast("date"), feistel_number(_day(m), SIDE, key + "/date").cast("int"))
-    forms = ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"\.", "dd.MM.yyyy"), ("-", "dd-MM-yyyy"), ("/", "MM/dd/yyyy"), ("^[0-9]", "d MMMM yyyy"))
-    out = F.date_format(to, "MMMM d, yyyy")
-    for pattern, form in reversed(forms):
-        out = F.when(m.rlike(pattern), F.date_format(to, form)).otherwise(out)
-    return out
+    def written(x: Column) -> Column:
+        turned, to = x["turned"], x["to"]
+        form = lambda f: F.date_format(to, f)
+        day = F.day(to)
+        nth = F.when(m.rlike("[0-9](?:st|nd|rd|th)"), F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th")).otherwise("")
+        name = F.when(m.rlike("[A-Za-z]{4}"), form("MMMM")).when(m.contains("May"), form("MMMM")).otherwise(form("MMM"))
+        numbers = [(r"^[0-9]{4}-", "yyyy-MM-dd", ""), ("^[0-9]{4}/", "yyyy/MM/dd", ""), (r"\.", "dd.MM.yyyy", "MM.dd.yyyy"), ("-", "dd-MM-yyyy", "MM-dd-yyyy"), ("/", "MM/dd/yyyy", "dd/MM/yyyy")]
+        out = F.when(m.rlike("^[0-9]"), F.concat(form("d"), nth, F.lit(" "), name, form(" yyyy"))).otherwise(F.concat(name, form(" d"), nth, form(", yyyy")))
+        for pattern, plain, other in reversed(numbers):
+            out = F.when(m.rlike(pattern), F.when(turned, form(other)).otherwise(form(plain)) if other else form(plain)).otherwise(out)
+        return out
+
+    return let(_read(m), lambda r: let(F.struct(r["turned"].alias("turned"), _moved(r, key).alias("to")), written))
 
 
 def _kind(m: Column) -> Column:
     """The kind of a match; none where a card number fails the Luhn test, an account its check digits, or a date is no date."""
-    valid = {"date": _day(m).isNotNull(), "iban": remainder97(_account(m)) == 1}
+    valid = {"date": _read(m).isNotNull(), "iban": remainder97(_account(m)) == 1}
     out = F.when(luhn(digits(m)) % 10 == 0, F.lit("card")).otherwise("none")
     for k in ("ssn", "date", "ip", "phone", "ipv6", "iban", "email"):
         out = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.when(valid[k], F.lit(k)).otherwise("none") if k in valid else F.lit(k)).otherwise(out)
@@ -221,8 +291,7 @@ def _kind(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     email = F.concat(feistel_text(F.substring_index(m, "@", 1), key + "/email"), F.lit("@"), F.substring_index(m, "@", -1))
-    plain = _refill(m, let(digits(m), lambda d: feistel_text(d, key + "/ssn")))
-    return F.when(kind == "email", email).when(kind == "phone", _phone(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", plain).when(kind == "card", _card(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ipv6", _ipv6(m, key)).otherwise(m)
+    return F.when(kind == "email", email).when(kind == "phone", _phone(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "card", _card(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ipv6", _ipv6(m, key)).otherwise(m)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
