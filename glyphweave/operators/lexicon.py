@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphweave.functions import text as tx
 from glyphweave.operators import trie
+from glyphweave.operators.affixes import affix_match  # noqa: F401  J4 is one of the lexicon's joins
 from glyphweave.session import cut
 
 MOST_SIGNS = 100_000
@@ -83,16 +84,6 @@ def fallback_text(words: DataFrame, singles: DataFrame, key: str = "word_id") ->
     return found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("match.translit"), F.lit("?")).alias("t")))), lambda x: x["t"]), "").alias("text"))
 
 
-def affix_match(words: DataFrame, variants: DataFrame, key: str = "word_id") -> DataFrame:
-    """The first variant whose translit equals, starts or ends the word: an equi-join on all beginnings and ends. Empty translits match nothing; of variants with equal ordinals the lower translit wins."""
-    n = F.sequence(F.lit(1), F.length("word"))
-    parts = F.array_distinct(F.concat(F.transform(n, lambda k: F.substring(F.col("word"), F.lit(1), k)), F.transform(n, lambda k: F.substring(F.col("word"), -k, k))))
-    each = words.where(F.length("word") > 0).select(key, F.explode(parts).alias("translit"))
-    first = variants.where("translit <> ''").groupBy("translit").agg(F.min(F.struct("lemma_ord", "variant_ord", "lemma_id")).alias("m"))
-    best = each.join(first, "translit").groupBy(key).agg(F.min_by(F.struct("m.lemma_id", "translit"), F.struct("m", "translit")).alias("match"))
-    return words.join(best, key, "left")
-
-
 def segment(words: DataFrame, signs: list[str] | DataFrame, most: int = MOST_SIGNS) -> DataFrame:
     """Greedy longest-prefix segmentation against a sign list; unknown code points stand alone. words needs a column glyph.
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphweave.functions.tables import DIALECTS
+from glyphweave.operators import trees
 
 # Part-of-speech headings, and template names by what becomes of them in a definition.
 POS = ("Noun", "Verb", "Adjective", "Adverb", "Pronoun", "Preposition", "Particle", "Conjunction", "Interjection", "Numeral", "Proper noun")
@@ -330,6 +331,13 @@ def senses(parsed: DataFrame) -> DataFrame:
     return e.select(*[c for c in e.columns if c != "d"], "d.*").withColumnRenamed("definitions", "meanings")
 
 
+def nested_pages(parsed: DataFrame) -> DataFrame:
+    """M7, M7d: (key, value) of parsed pages for exchange, by lemma: value has the etymologies with their descendants as trees. sources.objects writes them as objects."""
+    tree = lambda d: d.withField("descendants", trees.nested(d["descendants"]))
+    each = F.transform("etymologies", lambda e: e.withField("definitions", F.transform(e["definitions"], tree)))
+    return parsed.select(F.col("lemma").alias("key"), F.struct("lemma_ord", "language", "pronunciations", each.alias("etymologies"), "references").alias("value"))
+
+
 def simple_page(text: Column, compat: bool = False) -> Column:
     """The older parser in regular expressions: (etymologies, parts of speech, hieroglyphs). compat: headers are never seen, only codes."""
     codes = F.regexp_extract_all(text, F.lit(r"\{\{egy-h\|([^|}]+)"), 1)

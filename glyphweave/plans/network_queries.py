@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphweave.operators import graph as g, keyword_index, lexicon as lex, passes, wikitext as wt
+from glyphweave.operators import graph as g, keyword_index, lexicon as lex, networks as nw, passes, wikitext as wt
 from glyphweave.session import shared_dir, table
 from glyphweave.sources import objects
 
@@ -47,7 +47,7 @@ def _older(spark: SparkSession, sf_dir: str) -> passes.Passes:
     page = lambda title, code, text: part.select(F.col("p_partkey").alias("lemma_ord"), F.concat(F.lit(title), F.col("p_partkey").cast("string")).alias("title"), F.lit(code).alias("language"), F.expr(text).alias("full_wikitext"))
     pages = page("e", "Egyptian", _OLD_EGYPTIAN).union(page("d", "Demotic", _OLD_DEMOTIC)).union(page("q", "Coptic", _OLD_COPTIC))
     codes = F.create_map(*[F.lit(x) for x in ("Egyptian", "egy", "Demotic", "dem", "Coptic", "cop")])
-    return passes.older_networks(wt.senses(wt.parse_pages(pages)).withColumn("language", codes[F.col("language")]))
+    return passes.older_networks(wt.senses(wt.parse_pages(pages, spark.sparkContext.defaultParallelism)).withColumn("language", codes[F.col("language")]))
 
 
 # A word's own Egyptian network (e), that of its plural (p), the Demotic (d) and Coptic (q) ones. Alternative forms of Coptic words join the first network that
@@ -156,3 +156,46 @@ def large_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.struct(F.concat("p_name", F.lit("}")).alias("x"), F.struct(F.concat(F.lit('"'), "p_brand").alias("y"), F.array(F.lit("\\"), F.lit("{,")).alias("w")).alias("inner"), F.col("p_size").cast("int").alias("z"))
     objects.write_objects(table(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"), value.alias("value")), path)
     return objects.read_objects(spark, path, "struct<x:string,inner:struct<y:string>,z:int>").select("key", "value.x", "value.inner.y", "value.z")
+
+
+#: Pages of several shapes, for part k by k % 6: derived terms below the etymology (0), numbered etymologies with a gap (1), malformed and orphaned descendants (2), a part of
+#: speech without an etymology and a heading out of place (3), a page of another language (4), no text (5).
+_SHAPES = "CASE p_partkey % 6 " + " ".join(
+    f"WHEN {k} THEN {_NL.join(lines)}"
+    for k, lines in enumerate([
+        ["'==Egyptian=='", "'===Etymology==='", "'From {{m|egy|a' || p_partkey || '}} and more.'", "'===Derived terms==='", "'* {{l|egy|d' || p_partkey || '}}'", "'{{col3|egy|x|d' || p_partkey || '}}'", "'===Noun==='", "'# m' || p_partkey", "'===Verb==='", "'# v' || p_partkey", "'====Derived terms===='", "'* {{l|egy|own}}'"],
+        ["'==Egyptian=='", "'===Etymology 1==='", "'first'", "'====Noun===='", "'# m' || p_partkey", "'===Etymology 3==='", "'third'", "'====Noun===='", "'# lost'"],
+        ["'==Egyptian=='", "'===Noun==='", "'# m' || p_partkey", "'====Descendants===='", "'** {{desc|cop|orphan}}'", "'* {{desc|cop|c' || p_partkey", "'* {{desc|egx-dem|e' || p_partkey || '}}'", "'** {{desc|cop|f}} {{desc|cop|g}}'", "'* {{desc|cop}}'"],
+        ["'===Etymology==='", "'stray'", "'==Egyptian=='", "'===Noun==='", "'# m' || p_partkey", "'#: quoted'", "'==Latin=='", "'===Noun==='", "'# other'"],
+        ["'==Latin=='", "'===Noun==='", "'# other'"],
+    ])
+) + " END"
+
+
+@query("""
+SELECT p_partkey AS lemma_ord, 0 AS def_idx, 'Noun' AS part_of_speech, 'From {{m|egy|a' || p_partkey || '}} and more.' AS etymology, 'm' || p_partkey AS meanings, 'd' || p_partkey || '|x' AS derived, '' AS descendants FROM part WHERE p_partkey % 6 = 0
+UNION ALL SELECT p_partkey, 1, 'Verb', 'From {{m|egy|a' || p_partkey || '}} and more.', 'v' || p_partkey, 'own|d' || p_partkey || '|x', '' FROM part WHERE p_partkey % 6 = 0
+UNION ALL SELECT p_partkey, 0, 'Noun', 'first', 'm' || p_partkey, '', '' FROM part WHERE p_partkey % 6 = 1
+UNION ALL SELECT p_partkey, 0, 'Noun', '', 'm' || p_partkey, '', 'e' || p_partkey || '|f|g' FROM part WHERE p_partkey % 6 = 2
+UNION ALL SELECT p_partkey, 0, 'Noun', '', 'm' || p_partkey, '', '' FROM part WHERE p_partkey % 6 = 3""")
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6, X9, X4e, X10, X11 on pages of six shapes, missing texts among them."""
+    part = table(spark, sf_dir, "part")
+    pages = part.select(F.col("p_partkey").alias("lemma_ord"), F.col("p_name").alias("title"), F.lit("Egyptian").alias("language"), F.expr(_SHAPES).alias("full_wikitext"))
+    s = wt.senses(wt.parse_pages(pages, spark.sparkContext.defaultParallelism)).where("def_idx is not null")
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return s.select("lemma_ord", "def_idx", "part_of_speech", F.coalesce(F.trim("etymology_text"), F.lit("")).alias("etymology"), joined("meanings").alias("meanings"), joined("derived_terms").alias("derived"), joined(F.transform("descendants", lambda d: d["word"])).alias("descendants"))
+
+
+#: An Egyptian word for part k: plain (k % 3 = 0), an alternative form alone (1), or an alternative form beside a verb (2).
+_ROOTS = _NL.join(["'==Egyptian=='", "'===Noun==='", "CASE WHEN p_partkey % 3 = 0 THEN '# m' ELSE '# Alternative form of w' END || p_partkey"]) + " || CASE WHEN p_partkey % 3 = 2 THEN chr(10) || '===Verb===' || chr(10) || '# v' || p_partkey ELSE '' END"
+
+
+@query("""SELECT 'w' || p_partkey AS root, 1 AS n_nodes, CASE WHEN p_partkey % 3 = 0 THEN 'm' ELSE 'v' END || p_partkey AS meanings FROM part WHERE p_partkey % 3 <> 1""")
+def network_roots_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """senses that only refer to another form are no roots, and a word of such senses alone has no network."""
+    part = table(spark, sf_dir, "part")
+    pages = part.select(F.col("p_partkey").alias("lemma_ord"), F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("title"), F.lit("Egyptian").alias("language"), F.expr(_ROOTS).alias("full_wikitext"))
+    nets, nodes, _ = nw.build_networks(wt.senses(wt.parse_pages(pages, spark.sparkContext.defaultParallelism)).withColumn("language", F.lit("egy")))
+    about = nodes.groupBy("network_id").agg(F.count("*").alias("n_nodes"), F.max(F.array_join("meanings", "/")).alias("meanings"))
+    return nets.join(about, "network_id").select(F.col("root_lemma").alias("root"), "n_nodes", "meanings")

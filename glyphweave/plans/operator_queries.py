@@ -192,7 +192,7 @@ PAGE = _lines(
 
 
 def _parsed(spark: SparkSession, sf_dir: str, page: str = PAGE, language: str = "Egyptian") -> DataFrame:
-    return wt.parse_pages(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lemma_ord"), F.col("p_name").alias("title"), F.lit(language).alias("language"), F.expr(page).alias("full_wikitext")))
+    return wt.parse_pages(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lemma_ord"), F.col("p_name").alias("title"), F.lit(language).alias("language"), F.expr(page).alias("full_wikitext")), spark.sparkContext.defaultParallelism)
 
 
 @query(f"""
@@ -401,7 +401,7 @@ def _senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda base, title, language, text: part.select((F.lit(base) + F.col("p_partkey")).alias("lemma_ord"), F.concat(F.lit(title), F.col("p_partkey").cast("string")).alias("title"), F.lit(language).alias("language"), F.expr(text).alias("full_wikitext"))
     pages = page(0, "e", "Egyptian", _EGYPTIAN).union(page(1000000, "d", "Demotic", _DEMOTIC)).union(page(2000000, "q", "Coptic", _COPTIC))
     names = F.create_map(*[F.lit(x) for x in ("Egyptian", "egy", "Demotic", "dem", "Coptic", "cop")])
-    return wt.senses(wt.parse_pages(pages)).withColumn("language", names[F.col("language")])
+    return wt.senses(wt.parse_pages(pages, spark.sparkContext.defaultParallelism)).withColumn("language", names[F.col("language")])
 
 
 _SOME = "FROM part WHERE p_partkey"
@@ -639,7 +639,7 @@ def forms_own_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = f"'==Coptic=='{nl}'===Etymology==='{nl}"
     noun = f"{nl}'===Noun==='{nl}'{{{{cop-noun}}}}'{nl}'# thing'"
     pages = page("m", 0, f"{head}'{{{{bor|cop|grc|f}}}} {{{{alter|cop|v' || p_partkey || '|B}}}}'{noun}").union(page("v", 1000000, f"{head}'{{{{bor|cop|grc|f}}}}'{noun}{nl}'====Derived terms===='{nl}'{{{{l|cop|z' || p_partkey || '}}}}'"))
-    _, nodes, edges = nw.build_networks(wt.senses(wt.parse_pages(pages)).withColumn("language", F.lit("cop")))
+    _, nodes, edges = nw.build_networks(wt.senses(wt.parse_pages(pages, spark.sparkContext.defaultParallelism)).withColumn("language", F.lit("cop")))
     named = g.with_ends(edges, nodes, "form")
     first, then = named.where("type = 'VARIANT'"), named.where("type = 'DERIVED' and from_form like 'v%' and cast(split_part(network_id, '/', 2) as long) < 1000000").select("network_id", F.col("from").alias("to"), F.col("to_form").alias("z"))
     rows = first.join(then, ["network_id", "to"])
