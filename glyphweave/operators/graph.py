@@ -186,7 +186,7 @@ def merge_networks(nodes: DataFrame, edges: DataFrame, roots: DataFrame, stop: D
     """
     ident = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("0" if c == "etymology_index" else "\u0000")) for c in IDENTITY])
     held = nodes.withColumn("identity", ident)
-    usable = held.join(F.broadcast(stop), ["language", "form"], "left_anti").join(roots, "network_id")
+    usable = held.join(stop, ["language", "form"], "left_anti").join(roots, "network_id")
     agreed = usable.groupBy("identity").agg(F.min("network_id").alias("low"), F.max("network_id").alias("high"), F.min("root_etymology_index").alias("a"), F.max("root_etymology_index").alias("b")).where("low < high and (a is null or a = b)").select("identity", "low")
     links = usable.select("identity", "network_id").distinct().join(agreed, "identity").select(F.col("network_id").alias("src"), F.col("low").alias("dst"))
     groups = connected_components(links).select(F.col("node").alias("network_id"), F.col("component").alias("merged"))
@@ -218,8 +218,8 @@ def networks_with(nodes: DataFrame, form: str) -> DataFrame:
 
 
 def random_network(networks: DataFrame, seed: int) -> DataFrame:
-    """R5."""
-    return networks.orderBy(F.xxhash64("network_id", F.lit(seed))).limit(1)
+    """The network of smallest hash under a seed; ties by id."""
+    return networks.orderBy(F.md5(F.concat(F.col("network_id").cast("string"), F.lit(f"/{seed}"))), "network_id").limit(1)
 
 
 def missing_attribute(nodes: DataFrame, column: str, *by: str) -> DataFrame:

@@ -33,13 +33,13 @@ def _key(*parts) -> Column:
 
 
 def _place(producer: int, *at) -> Column:
-    """An ordinal that sorts producers, then up to three places: 10^4, 10^7 and 10^6 of them (attached lemmas 10^12, by _attached)."""
+    """An ordinal that sorts producers, then up to three places: a struct, so that no place has to fit a number of digits."""
     at = [*at, *[F.lit(0)] * (3 - len(at))]
-    return F.lit(producer).cast("long") * 10**18 + at[0] * F.lit(10**13) + at[1] * F.lit(10**6) + at[2]
+    return F.struct(F.lit(producer).alias("producer"), *[c.cast("long").alias(k) for k, c in zip(("a", "b", "c"), at, strict=True)])
 
 
 def _attached() -> Column:
-    return F.lit(ATTACHED).cast("long") * 10**18 + F.col("lemma_ord") * F.lit(10**6) + F.col("etym_idx") * 1000 + F.col("def_idx")
+    return _place(ATTACHED, F.col("lemma_ord"), F.col("etym_idx"), F.col("def_idx"))
 
 
 def _node(ord_: Column, id_: Column, language: Column, form: Column, **more: Column) -> list[Column]:

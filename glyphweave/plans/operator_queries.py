@@ -16,7 +16,7 @@ from glyphweave.functions import lexical as lx, tables, text as tx
 from glyphweave.operators import chronology as ch, graph as g, lexicon as lex, networks as nw, wikitext as wt
 from glyphweave.plans.driver_queries import EDGES, FORMS, NODES, event_forms, property_graph
 from glyphweave.session import shared_dir, table
-from glyphweave.sources import ingest
+from glyphweave.sources import ingest, objects
 from glyphweave.sources.keyed_table import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,12 +540,11 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.violations(nodes, part.select(F.lit("g").alias("network_id"), start.alias("from"), F.concat(F.lit("b"), key).alias("to"), F.when(size % 7 == 0, "ODD").otherwise("VARIANT").alias("type")))
 
 
-@query("""SELECT count(*) AS n, 1 AS known, 1 AS again FROM (SELECT 1)""")
+@query("""SELECT network_id, seed FROM (SELECT p_brand AS network_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(p_brand || '/' || seed), p_brand) AS n FROM (SELECT DISTINCT p_brand FROM part), range(3) t(seed)) WHERE n = 1""")
 def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One network, a known one, the same for the same seed."""
+    """A network by chance, the same for the same seed: three seeds."""
     nets = table(spark, sf_dir, "part").select(F.col("p_brand").alias("network_id")).distinct()
-    one = g.random_network(nets, 7)
-    return one.join(nets, "network_id").join(g.random_network(nets, 7).withColumnRenamed("network_id", "other"), F.col("network_id") == F.col("other"), "left").agg(F.count("*").alias("n"), F.count("network_id").alias("known"), F.count("other").alias("again"))
+    return nw.union(*[g.random_network(nets, k).select("network_id", F.lit(k).cast("long").alias("seed")) for k in range(3)])
 
 
 @query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'egy' WHEN 1 THEN 'dem' WHEN 2 THEN 'cop' END AS family, CASE WHEN p_size % 4 < 3 AND EXISTS (SELECT 1 FROM part q WHERE q.p_name = part.p_name AND q.p_size % 4 = part.p_size % 4 AND q.p_partkey % 3 = 0)
@@ -586,12 +585,11 @@ def lexicon_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand AS key, arg_max(p_name, p_partkey) AS x, CAST(dense_rank() OVER (ORDER BY min(p_partkey)) AS BIGINT) AS place FROM part GROUP BY 1""")
 def keyed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An object of objects with repeated keys, written as one JSON text; the last value counts, at the first place."""
-    rows = table(spark, sf_dir, "part").groupBy().agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand", "p_name"))).alias("x"))  # one small file: the format is one object
-    text = rows.select(F.concat(F.lit("{"), joined(F.transform("x", lambda r: F.concat(F.lit('"'), r["p_brand"], F.lit('": {"x": "'), r["p_name"], F.lit('"}'))), ", "), F.lit("}")).alias("value"))
-    path = f"{shared_dir(spark)}/keyed-round-trip"
-    text.coalesce(1).write.mode("overwrite").text(path)
-    out = ingest.read_keyed_json(spark, path, "struct<x:string>").select("key", "value.x", "ord")
+    """An object of objects with repeated keys, written as one file in order and read by ranges; the last value counts, at the first place."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("key"), F.struct(F.col("p_name").alias("x")).alias("value"))
+    path = f"{shared_dir(spark)}/keyed-round-trip-{uuid.uuid4().hex}"
+    objects.write_objects(rows.repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey"), path)  # one object is one file, which one task streams out
+    out = objects.read_objects(spark, path, "struct<x:string>").select("key", "value.x", "ord")
     return out.join(lex.numbered(out, "ord").withColumnRenamed("id", "place"), "ord").select("key", "x", "place")
 
 
