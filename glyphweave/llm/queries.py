@@ -35,6 +35,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pivots are fragments of documents, not whole documents: see jaccard's docstring and README for why, and for where distances to whole documents are taken."""
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
 
