@@ -32,7 +32,13 @@ VALUES = ("language", "form", "transliteration", "hieroglyphs", "part_of_speech"
 EDGE = ("network_id", "moment", "from", "to", "type", "notes", "target_language", "etymology_snippet", "dialect")
 #: Moments of what comes before the forms' groups, and after all definitions.
 BEFORE, LAST_DEF = -1, 2**31 - 1
+# Templates of affixes, and the notes that edges bear; what they name comes in between or after.
 AFFIXES = ("prefix", "suffix", "affix", "af", "confix")
+FIRST, EVOLVED, TO = "First attestation in ", "Evolution from ", " to "
+GLYPHS, SPELLING = "Hieroglyphic variant", "Spelling variant"
+ALTERNATIVE, TOLD = "Alternative form of ", " (from definition)"
+PART_OF_COMPOUND, OLD_PART, COPTIC_PART = "compound component: ", "Egyptian component of Demotic compound", "Component of compound"
+DERIVED, AFFIXED, STEM = "Derived from ", "Affixed with ", "Coptic base word from "
 _text = lambda v=None: F.lit(v).cast("string")
 _none = lambda: F.array().cast("array<string>")
 
@@ -112,17 +118,17 @@ def _form_edges(forms: DataFrame) -> DataFrame:
     dated = ranks.where(F.col("rank") < OTHER_DATE).withColumns({"next": F.lead("first").over(by_rank), "n": F.row_number().over(by_rank)})
     moment = lambda step, i=0, j=0: _moment(step, i, j, F.col("grp"))
     undated = ranks.where(F.col("rank") == NO_DATE).select(*key, F.col("first.id").alias("root"))
-    starts = dated.where("n = 1").join(undated, list(key)).select(*_edge(moment(1), F.col("root"), F.col("first.id"), "DESCENDS", F.concat(F.lit("First attestation in "), F.coalesce("first.period", F.lit("dated period")))))
+    starts = dated.where("n = 1").join(undated, list(key)).select(*_edge(moment(1), F.col("root"), F.col("first.id"), "DESCENDS", F.concat(F.lit(FIRST), F.coalesce("first.period", F.lit("dated period")))))
     steps = forms.join(dated.where("next is not null").select(*key, "rank", "next", "n"), [*key, "rank"])
-    steps = steps.select(*_edge(moment(2, F.col("n"), F.col("i")), F.col("id"), F.col("next.id"), "EVOLVES", F.concat(F.lit("Evolution from "), F.coalesce("period", F.lit("?")), F.lit(" to "), F.coalesce("next.period", F.lit("?")))))
+    steps = steps.select(*_edge(moment(2, F.col("n"), F.col("i")), F.col("id"), F.col("next.id"), "EVOLVES", F.concat(F.lit(EVOLVED), F.coalesce("period", F.lit("?")), F.lit(TO), F.coalesce("next.period", F.lit("?")))))
     same = Window.partitionBy(*key, "rank", "form")
     here = Window.partitionBy(*key, "rank")
     wide = forms.withColumns({"n": F.count("*").over(same), "lead_i": F.min("i").over(same), "lead": F.first("id").over(same.orderBy("i"))})
     most = F.first("id").over(here.orderBy(F.desc("n"), "lead_i", "i"))
     wide = wide.withColumns({"first_i": F.min("i").over(here), "most": most, "most_form": F.first("form").over(here.orderBy(F.desc("n"), "lead_i", "i"))})
     when = F.concat(F.lit(" ("), F.coalesce(_full("period"), F.lit("undated")), F.lit(")"))
-    glyphs = wide.where("i > lead_i and id <> lead").select(*_edge(moment(3, F.col("first_i"), F.col("lead_i") * 1000 + F.col("i")), F.col("lead"), F.col("id"), "VARIANT", F.concat(F.lit("Hieroglyphic variant"), when)))
-    spellings = wide.where("i = lead_i and form <> most_form and id <> most").select(*_edge(moment(3, F.col("first_i"), F.col("i") + 10**6), F.col("most"), F.col("id"), "VARIANT", F.concat(F.lit("Spelling variant"), when)))
+    glyphs = wide.where("i > lead_i and id <> lead").select(*_edge(moment(3, F.col("first_i"), F.col("lead_i") * 1000 + F.col("i")), F.col("lead"), F.col("id"), "VARIANT", F.concat(F.lit(GLYPHS), when)))
+    spellings = wide.where("i = lead_i and form <> most_form and id <> most").select(*_edge(moment(3, F.col("first_i"), F.col("i") + 10**6), F.col("most"), F.col("id"), "VARIANT", F.concat(F.lit(SPELLING), when)))
     return _all([starts, steps, glyphs, spellings])
 
 
@@ -130,7 +136,7 @@ def egyptian(senses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The first pass: (candidate nodes, candidate edges, further mentions of ids)."""
     all_ = cut(_rows(senses, "egy"))
     other = all_.where("target is not null").withColumn("network_id", node_id("egy", F.col("target"), etymology=F.col("etym_idx")))
-    named = lambda i: F.concat(F.lit("Alternative form of "), F.col(i))
+    named = lambda i: F.concat(F.lit(ALTERNATIVE), F.col(i))
     mine = {"meanings": F.col("meanings"), "etymology_index": F.col("etym_idx")}
     nodes = [other.select(*_node(_moment(0, 0), F.col("network_id"), "egy", F.col("target"))), other.select(*_node(_moment(0, 1), F.col("own"), "egy", F.col("lemma"), **mine))]
     edges = [other.select(*_edge(_moment(0, 2), F.col("network_id"), F.col("own"), "VARIANT", named("target"), once=True))]
@@ -146,7 +152,7 @@ def egyptian(senses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     made = _all([n.select("network_id", "moment") for n in nodes]).groupBy("network_id").agg(F.min("moment").alias("made"))
     into = told.join(made, "network_id").where("made < moment").drop("moment", "made")
     nodes.append(into.select(*_node(_moment(2, F.col("i")), F.col("own"), "egy", F.col("lemma"), **mine)))
-    edges.append(into.select(*_edge(_moment(2, F.col("i"), 1), F.col("network_id"), F.col("own"), "VARIANT", F.concat(named("variant"), F.lit(" (from definition)")), once=True)))
+    edges.append(into.select(*_edge(_moment(2, F.col("i"), 1), F.col("network_id"), F.col("own"), "VARIANT", F.concat(named("variant"), F.lit(TOLD)), once=True)))
 
     dated = F.col("rank") < OTHER_DATE
     latest = forms.where(dated & (F.col("grp") == 0)).groupBy("lemma_ord", "etym_idx", "def_idx").agg(F.max_by("id", F.struct("rank", -F.col("i"))).alias("latest"))
@@ -161,7 +167,7 @@ def egyptian(senses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = lambda j: _moment(5, F.col("i"), j, F.lit(0))
     part = node_id("egy", F.col("c.form"))
     nodes.append(parts.select(*_node(at(0), part, "egy", F.col("c.form"), part_of_speech=F.when(compound, "word").otherwise("morpheme"))))
-    edges.append(parts.select(*_edge(at(1), part, F.col("own"), "COMPONENT", F.when(compound, F.concat(F.lit("compound component: "), F.col("c.form"))).otherwise(F.concat(F.coalesce("c.role", F.lit("base")), F.lit(": "), F.col("c.form"))), once=True)))
+    edges.append(parts.select(*_edge(at(1), part, F.col("own"), "COMPONENT", F.when(compound, F.concat(F.lit(PART_OF_COMPOUND), F.col("c.form"))).otherwise(F.concat(F.coalesce("c.role", F.lit("base")), F.lit(": "), F.col("c.form"))), once=True)))
     said = told.select(F.col("network_id").alias("id"), F.col("moment").alias("said"))
     return _all(nodes), _all(edges), said
 
@@ -206,7 +212,7 @@ def coptic(senses: DataFrame) -> tuple[DataFrame, DataFrame]:
     above = node_id(F.col("up_lang"), F.col("up_form"))
     nodes.append(up.select(*_node(_moment(1), above, F.col("up_lang"), F.col("up_form"), how="known")))
     variant = F.col("target").isNotNull()
-    edges.append(up.select(*_edge(_moment(1, 1), above, F.col("own"), F.when(variant, "VARIANT").otherwise("DESCENDS"), F.when(variant, F.concat(F.lit("Alternative form of "), F.col("target"))), once=True, snippet=F.when(~variant, F.substring("etymology_text", 1, 200)))))
+    edges.append(up.select(*_edge(_moment(1, 1), above, F.col("own"), F.when(variant, "VARIANT").otherwise("DESCENDS"), F.when(variant, F.concat(F.lit(ALTERNATIVE), F.col("target"))), once=True, snippet=F.when(~variant, F.substring("etymology_text", 1, 200)))))
 
     alt = rows.select("*", F.posexplode("alternative_forms").alias("i", "a")).where("a.form <> ''")
     key = node_id("cop", F.col("a.form"), None, F.col("a.dialect"), None, F.col("etym_idx"))
@@ -216,12 +222,12 @@ def coptic(senses: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = rows.select("*", F.posexplode(F.filter("alternative_forms_from_definitions", lambda x: x != "")).alias("i", "variant"))
     key = node_id("cop", F.col("variant"), etymology=F.col("etym_idx"))
     nodes.append(told.select(*_node(_moment(3, F.col("i")), key, "cop", F.col("variant"), how="known")))
-    edges.append(told.select(*_edge(_moment(3, F.col("i"), 1), key, F.col("own"), "VARIANT", F.concat(F.lit("Alternative form of "), F.col("variant"), F.lit(" (from definition)")), once=True)))
+    edges.append(told.select(*_edge(_moment(3, F.col("i"), 1), key, F.col("own"), "VARIANT", F.concat(F.lit(ALTERNATIVE), F.col("variant"), F.lit(TOLD)), once=True)))
 
     terms = rows.select("*", F.posexplode(F.filter("derived_terms", lambda x: x != "")).alias("i", "term"))
     key = node_id("cop", F.col("term"))
     nodes.append(terms.select(*_node(_moment(4, F.col("i")), key, "cop", F.col("term"))))
-    edges.append(terms.select(*_edge(_moment(4, F.col("i"), 1), F.col("own"), key, "DERIVED", F.concat(F.lit("Derived from "), F.col("lemma")))))
+    edges.append(terms.select(*_edge(_moment(4, F.col("i"), 1), F.col("own"), key, "DERIVED", F.concat(F.lit(DERIVED), F.col("lemma")))))
 
     # once an etymology, after its definitions
     first = rows.groupBy("pass", "lemma_ord", "etym_idx", "own", "network_id").agg(*[F.min_by(c, "def_idx").alias(c) for c in ("components", "ancestor")])
@@ -233,19 +239,19 @@ def coptic(senses: DataFrame) -> tuple[DataFrame, DataFrame]:
     old = parts.where(through)
     key = node_id("egy", F.col("c.form"))
     nodes.append(old.select(*_node(at(0), key, "egy", F.col("c.form"), **word)))
-    edges.append(old.select(*_edge(at(1), key, node_id("dem", F.col("ancestor.form")), "COMPONENT", "Egyptian component of Demotic compound", once=True)))
+    edges.append(old.select(*_edge(at(1), key, node_id("dem", F.col("ancestor.form")), "COMPONENT", OLD_PART, once=True)))
     rest = parts.where(~through)
-    stems = rest.where(F.col("c.template_type").isin("prefix", "suffix", "affix", "confix") & (F.coalesce("c.role", F.lit("base")) == "base"))
+    stems = rest.where(F.col("c.template_type").isin(*[a for a in AFFIXES if a != "af"]) & (F.coalesce("c.role", F.lit("base")) == "base"))
     key = node_id(F.col("lang"), F.col("c.form"))
     nodes.append(stems.select(*_node(at(0), key, F.col("lang"), F.col("c.form"), how="form", **word)))
-    edges.append(stems.select(*_edge(at(1), key, F.col("own"), "DERIVED", F.concat(F.lit("Affixed with "), F.col("c.template_type")), by_form="from")))
+    edges.append(stems.select(*_edge(at(1), key, F.col("own"), "DERIVED", F.concat(F.lit(AFFIXED), F.col("c.template_type")), by_form="from")))
     above = stems.where(has & F.col("ancestor.language").isin("egx-dem", "egy"))
     family = F.when(F.col("ancestor.language") == "egy", "Egyptian").otherwise("Demotic")
-    edges.append(above.select(*_edge(at(2), node_id(F.when(F.col("ancestor.language") == "egy", "egy").otherwise("dem"), F.col("ancestor.form")), key, "DESCENDS", F.concat(F.lit("Coptic base word from "), family), once=True, by_form="to")))
+    edges.append(above.select(*_edge(at(2), node_id(F.when(F.col("ancestor.language") == "egy", "egy").otherwise("dem"), F.col("ancestor.form")), key, "DESCENDS", F.concat(F.lit(STEM), family), once=True, by_form="to")))
     compounds = rest.where("c.template_type = 'compound'")
     key = node_id("cop", F.col("c.form"))
     nodes.append(compounds.select(*_node(at(0), key, "cop", F.col("c.form"), **word)))
-    edges.append(compounds.select(*_edge(at(1), key, F.col("own"), "COMPONENT", "Component of compound")))
+    edges.append(compounds.select(*_edge(at(1), key, F.col("own"), "COMPONENT", COPTIC_PART)))
     return _all(nodes), _all(edges)
 
 
@@ -303,7 +309,7 @@ def merge_alternatives(built: Passes) -> Passes:
     """
     networks, nodes, edges, spoken = built
     made = networks.select("network_id", "made")
-    first = edges.where("type = 'VARIANT' and notes like '%Alternative form of%'").select("network_id", "moment", F.col("from").alias("id"))
+    first = edges.where("type = 'VARIANT' and notes is not null").where(F.col("notes").contains(ALTERNATIVE.strip())).select("network_id", "moment", F.col("from").alias("id"))
     holders = nodes.select("id", F.col("network_id").alias("target"), F.col("made").alias("order"))
     moves = first.join(holders, "id").where("network_id <> target").groupBy("network_id").agg(F.min_by("target", F.struct("moment", "order")).alias("target"))
     to = _chain_ends(cut(moves.select(F.col("network_id").alias("source"), "target")), made)
