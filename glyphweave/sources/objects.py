@@ -126,8 +126,8 @@ def write_objects(df: DataFrame, path: str, key: str = "key", value: str = "valu
             rows = held + pdf["value"].tolist()
             if rows and not opened:
                 rows[0], opened = "{" + rows[0], True
-            yield pd.DataFrame({"value": rows[:-1]})
+            yield pd.DataFrame({"value": rows[:-1]}, dtype=object)
             held = rows[-1:]
-        yield pd.DataFrame({"value": [x + "}" for x in held]})
+        yield pd.DataFrame({"value": [x + "}" for x in held]}, dtype=object)  # none for a partition without rows
 
     member.mapInPandas(wrapped, "value string").write.mode("overwrite").option("lineSep", ",").text(path)

@@ -59,3 +59,14 @@ def test_written_and_read_again(spark, tmp_path):
     assert {k: v["n"] for part in whole for k, v in part.items()} == {k: v["n"] for k, v in data.items()} and len(whole) == 3
     objects.write_objects(df.where(F.lit(False)), path)
     assert objects.read_objects(spark, path, VALUE).count() == 0
+
+
+def test_partitions_without_rows(spark, tmp_path):
+    """A split without a row group, as a file of one row group has when it is read in several, is written as no object."""
+    df = spark.createDataFrame([(f"k{i}", ("}", [], ("{",), i)) for i in range(40)], f"key string, value {VALUE}").coalesce(1)
+    df.write.parquet(f"file://{tmp_path}/in")
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}):
+        split = spark.read.parquet(f"file://{tmp_path}/in")
+        assert split.rdd.getNumPartitions() > 2
+        objects.write_objects(split, f"file://{tmp_path}/out")
+    assert sorted(objects.read_objects(spark, f"file://{tmp_path}/out", VALUE).select("value.n").toPandas()["n"]) == list(range(40))
