@@ -212,6 +212,18 @@ def test_best_match(spark):  # J7: the first of the part of speech, whatever the
     assert {r.e: r.parent for r in networks.best_match(df, "e").collect()} == {"e": "x", "f": "w", "g": "y", "h": "y"}
 
 
+def test_best_matches(spark):  # J7 without pairs: the same as best_match() over all of them, and no join by the key alone
+    r = random.Random(5)
+    some = lambda: r.choice([None, [], [""], *[[" ".join(r.choice("abcdeF") for _ in range(r.randrange(1, 4)))] for _ in range(3)]])
+    entries = spark.createDataFrame([(i, r.choice("xy"), r.choice(["Noun", "Verb", "unknown", None]), some()) for i in range(150)], "e long, key string, part_of_speech string, meanings array<string>")
+    held = spark.createDataFrame([(k, f"c{i}", i, r.choice(pos), some(), r.choice([None, 0, 1, 2, 3])) for i in range(60) for k, pos in (("x", ["Noun", "Adverb"]), ("y", ["Adverb"] * 30 + [None] * (i > 50)), ("z", ["Verb"]))], "key string, c_id string, c_ord long, c_pos string, c_meanings array<string>, c_def int")
+    want = {(x.e, x.parent, x.overlap) for x in networks.best_match(entries.join(held, "key"), "e").collect()}
+    found = networks.best_matches(entries, held, "key")
+    assert {(x.e, x.parent, x.overlap) for x in found.collect()} == want and len(want) == 150
+    lone = networks.best_matches(entries, held.where("key = 'y' and c_pos is not null"), "key")
+    assert {(x.e, x.parent, x.overlap) for x in lone.collect()} == {(x.e, x.parent, x.overlap) for x in networks.best_match(entries.join(held.where("key = 'y' and c_pos is not null"), "key"), "e").collect()}
+
+
 def test_networks(spark):  # G5-G11
     dem = "==Demotic==\n===Etymology===\n{{inh|egx-dem|egy|pr}}\n===Noun===\n{{egx-dem-noun}}\n# house\n"
     cop = "==Coptic==\n===Etymology===\n{{bor|cop|grc|φ}}\n===Noun===\n{{cop-noun}}\n# thing\n"
