@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glyphweave.functions import lexical as lx, text as tx
 from glyphweave.operators import chronology as ch, components as cc, graph as g, lexicon as lex, trees
-from glyphweave.session import table
+from glyphweave.session import deal, table
 from glyphweave.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,7 +287,7 @@ UNION ALL SELECT 'w' || k, 'd', 'c', 'DESCENDS' FROM p WHERE s % 2 = 0
 UNION ALL SELECT l.network_id, l.latest, 'c', 'DESCENDS' FROM l JOIN p ON l.network_id = 'w' || p.k WHERE s % 2 = 1""")
 def redundant_edge_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descent starts at the latest form, and goes through Demotic where it can."""
-    p = table(spark, sf_dir, "part").select(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("network_id"), F.col("p_size").alias("s"))
+    p = deal(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("network_id"), F.col("p_size").alias("s"))
     s = F.col("s")
     node = lambda id_, lang, rank, ord_: F.struct(F.lit(id_).alias("id"), F.lit(lang).alias("language"), rank.cast("int").alias("rank"), F.lit(ord_).alias("node_ord"))
     nodes = p.select("network_id", F.inline(F.array(node("e1", "egy", s % 11, 0), node("e2", "egy", F.when(s % 3 == 0, 999).otherwise(s % 7), 1), node("d", "dem", F.lit(999), 2), node("c", "cop", F.lit(999), 3))))
