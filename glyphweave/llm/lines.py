@@ -1,8 +1,8 @@
 """Line dedup by a log-template tree of fixed depth.
 
 1. Tokens that hold a digit or an @ are variable fields from the start and read as one mark.
-2. Candidates. A line that min_docs documents have as it is is its own template. Any other is cut into blocks (2 below 7 tokens, 3 below 10, else 4); a template
-   must leave one block as it is, so a line of which no block (with token count and place) is held by min_docs documents, other than by lines that are their own templates, is
+2. Candidates. A line that min_docs documents have as it is is its own template. Any other is cut into blocks, one more than a template of its length may have
+   variable places (2 below 7 tokens, 3 below 10, 4 below 13, and so on), so that each template leaves one block as it is; a line of which no block (with token count and place) is held by min_docs documents, other than by lines that are their own templates, is
    left alone; so is what only a few copies share. That needs a few hashes per line, and no tokens.
 3. Tree. A candidate's path is its token count and its two leading tokens; a leading token that fewer than min_docs
    documents have below its node goes the node's wildcard way. In a leaf, a token is constant where at least
@@ -57,7 +57,12 @@ def _blocks(line: Column) -> Column:
             inner = lambda j: F.call_function("substring_index", part(edge[j + 1]), F.lit(" "), edge[j] - edge[j + 1])
             return F.array(whole, *[F.xxhash64(n, F.lit(j), part(edge[1]) if j == 0 else part(edge[j] - n) if j == k - 1 else inner(j)) for j in range(k)])
 
-        return F.when((n < MIN_TOKENS) | (2 * fields > n), F.array().cast("array<bigint>")).when(n < 7, cut_in(2)).when(n < 10, cut_in(3)).otherwise(cut_in(4))
+        def parted(tokens: Column) -> Column:  # a block more than a template may have variable places
+            k = F.floor((n - 1) / 3).cast("int") + 1
+            edge = lambda j: F.floor(n.cast("long") * j / k).cast("int")
+            return F.concat(F.array(whole), F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64(n, j, F.slice(tokens, edge(j) + 1, edge(j + 1) - edge(j)))))
+
+        return F.when((n < MIN_TOKENS) | (2 * fields > n), F.array().cast("array<bigint>")).when(n < 7, cut_in(2)).when(n < 10, cut_in(3)).when(n < 13, cut_in(4)).otherwise(let(F.split(line, " "), parted))
 
     return let(n, hashed)
 

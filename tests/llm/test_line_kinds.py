@@ -101,3 +101,12 @@ def test_tree_against_plain_rule(spark):
     assert got == want
     probe = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.startswith(("Posted by", "Visit "))}
     assert len(probe & got) == 118  # all but the first document's two lines
+
+
+def test_fields_in_each_quarter(spark):
+    """A long line with as many fields as a template may have, spread over the whole of it, still recurs."""
+    r = random.Random(11)
+    words = [_unique(r, 1) for _ in range(20)]
+    line = lambda: " ".join(_unique(r, 1) if k in (3, 6, 9, 12, 15, 18) else w for k, w in enumerate(words))
+    texts = [f"{line()}\n{_unique(r)}" for _ in range(12)]
+    assert _dropped(spark, texts) == {i: [0] if i else [] for i in range(12)}
