@@ -9,7 +9,7 @@
    no verbatim passage of min_words words is lost, whatever else holds its parts. Those that no chain covers are
    passages by themselves, extended like chains.
    An edited passage whose seeds all have their ends elsewhere is sought in a second turn: stretches of shared seeds that
-   no passage covers yet and that are long enough for one meet among themselves, each seed all its holders (up to RARE of them; beyond, the smallest and the largest).
+   no passage covers yet and that are long enough for one meet among themselves, each seed all its holders: up to RARE of them as a list, more by a join, whose pairs grow with the square of the holders.
 3. Chains: the matches of a pair of texts, in order of the one text, go through a Fenwick tree over the other; it holds for each prefix
    the best chain, where a chain earns K for a match and pays GAP for each word between matches.
 4. Alignment: chains are extended word by word at both ends while the score stays within DROP of its best; gaps inside
@@ -37,7 +37,7 @@ from glyphweave.llm._shingles import mix, word_hashes
 from glyphweave.session import cut, release
 
 K, WINDOW, GAP, DROP = 6, 10, 0.08, 12
-#: The second turn: holders of a seed that all meet; widest gap between seeds of one stretch, and least words that its seeds span.
+#: The second turn: holders of a seed that meet as a list; widest gap between seeds of one stretch, and least words that its seeds span.
 RARE, APART, SPAN = 64, 30, 24
 MIN_WORDS, MIN_IDENTITY = 45, 0.8
 
@@ -346,7 +346,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     held = cut(loose.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("t", "at")).alias("low"), F.max(F.struct("t", "at")).alias("high")).where("low.t < high.t"))
     few = loose.join(held.where(F.col("n") <= RARE).select("seed"), "seed").groupBy("seed").agg(F.collect_list(F.struct("t", "at")).alias("h"))  # RARE at most
     few = few.select("h", F.explode("h").alias("x")).select("x", F.explode("h").alias("y")).where("x.t > y.t").select(F.col("x.t").alias("t"), F.col("y.t").alias("o"), F.col("x.at").alias("at"), F.col("y.at").alias("o_at"))
-    many = loose.join(held.where(F.col("n") > RARE), "seed").select("t", "at", F.explode(ends).alias("o")).select("t", F.col("o.t").alias("o"), "at", F.col("o.at").alias("o_at"))
+    often = loose.join(held.where(F.col("n") > RARE).select("seed"), "seed")  # their holders meet in a join, so that none are collected
+    many = often.join(often.select("seed", F.col("t").alias("o"), F.col("at").alias("o_at")).hint("merge"), "seed").where("t > o").select("t", "o", "at", "o_at")
     again = few.union(many).groupBy("t", "o").agg(F.collect_set(F.struct("at", "o_at")).alias("m")).where((F.size("m") >= 2) & (spread >= SPAN))
     again = cut(again.select("t", "o", "m", none_run.alias("e")))
     found = found.unionByName(passages_of(again, spell(ends_of(again))))

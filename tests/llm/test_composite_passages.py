@@ -135,3 +135,15 @@ def test_chains_against_all_predecessors():
 def _step(x, y, p, q):
     gain = min(passages.K, x[q] - x[p], y[q] - y[p])
     return gain - passages.GAP * max(0, x[q] + y[q] - x[p] - y[p] - 2 * passages.K)
+
+
+def test_edited_passage_of_frequent_seeds(spark, monkeypatch):
+    """An edited passage whose seeds all have more than RARE holders, the smallest and the largest of them elsewhere."""
+    monkeypatch.setattr(passages, "RARE", 4)
+    r = random.Random(13)
+    one, two = _fresh(r, 42), _fresh(r, 42)
+    x, y = _fresh(r, 20) + one + _fresh(r, 1) + two + _fresh(r, 9), _fresh(r, 7) + one + _fresh(r, 1) + two + _fresh(r, 30)
+    low, high = sorted((_key(x), _key(y)))
+    outsiders = [_outside(r, part, good) for part in (one, two) for good in (lambda k: k < low, lambda k: k > high) for _ in range(3)]
+    got = _found(spark, [x, y, *outsiders])
+    assert len(got) == 1 and {got[0].doc_id, got[0].other_id} == {0, 1} and got[0].n_words == 85
