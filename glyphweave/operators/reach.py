@@ -31,19 +31,33 @@ def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def _joined(level: DataFrame, *by: str) -> DataFrame:
+def _joined(level: DataFrame) -> DataFrame:
     """level after level."""
-    x, y = level.select(*by, "a", F.col("b").alias("mid")), level.select(*by, F.col("a").alias("mid"), "b")
-    return x.join(y, [*by, "mid"]).select(*by, "a", "b").distinct()
+    x, y = level.select("a", F.col("b").alias("mid")), level.select(F.col("a").alias("mid"), "b")
+    return x.join(y, "mid").select("a", "b").distinct()
+
+
+def _jumped(jump: DataFrame) -> DataFrame:
+    """jump after jump, where each node of a way has one successor: one row for a row at most, so none repeats."""
+    x, y = jump.select("way", "a", F.col("b").alias("mid")), jump.select("way", F.col("a").alias("mid"), "b")
+    return x.join(y, ["way", "mid"]).select("way", "a", "b")
+
+
+def _picked(steps: DataFrame) -> DataFrame:
+    """(way, a, b): each node's smallest successor, its largest, and the one of smallest hash, of those that lead on; one way alone where no node has two of them."""
+    leads = steps.join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+    after = F.col("b")
+    picks = cut(leads.groupBy("a").agg(F.array(F.min(after), F.max(after), F.min_by(after, F.xxhash64("b", "a"))).alias("b")))
+    if _empty(picks.where("b[0] <> b[1]")):
+        return picks.select("a", F.lit(0).alias("way"), F.col("b")[0].alias("b"))
+    return picks.select("a", F.posexplode("b").alias("way", "b"))
 
 
 def _rings(steps: DataFrame, rounds: int) -> DataFrame | None:
     """(node, component) of rings, where each node picks its smallest successor, or its largest, or the one of smallest hash; None without rings."""
-    after = F.col("b")
-    picks = steps.groupBy("a").agg(F.array(F.min(after), F.max(after), F.min_by(after, F.xxhash64("b", "a"))).alias("b")).select("a", F.posexplode("b").alias("way", "b"))
-    picks = jump = cut(picks)
+    picks = jump = cut(_picked(steps))
     for _ in range(0, rounds, 2):
-        further = cut(_joined(_joined(jump, "way"), "way"))
+        further = cut(_jumped(_jumped(jump)))
         if jump is not picks:
             release(jump)
         jump = further

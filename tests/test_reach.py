@@ -74,3 +74,11 @@ def test_ancestry_of_all_roots_with_siblings_and_cycles(spark):
     down = plain([(a, b) for b, a in up], ["n5"])
     seeds = spark.createDataFrame([("n5",)], "id string")
     assert {tuple(x) for x in g.ancestry(df, seeds, False, True).collect()} == plain(up, ["n5"]) | down
+
+
+def test_one_way_where_nodes_have_one_successor(spark):
+    """A chain with side branches that end at once is walked one way, not three."""
+    steps = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(k, 100 + k) for k in range(20)], "a long, b long")
+    assert {r["way"] for r in reach._picked(steps).collect()} == {0}
+    forked = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1)], "a long, b long")
+    assert {r["way"] for r in reach._picked(forked).collect()} == {0, 1, 2}
