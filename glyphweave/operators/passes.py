@@ -302,10 +302,11 @@ def _chain_ends(links: DataFrame, made: DataFrame) -> DataFrame:
     return cut(parts.join(ends, "component").where("network_id <> into").select("network_id", "into"))
 
 
-def merge_alternatives(built: Passes) -> Passes:
+def merge_alternatives(built: Passes, with_edges: bool = True) -> Passes:
     """A network with an "Alternative form of" edge whose source also stands in another network moves into the first such network, through chains of any length.
 
     What is there comes first; of what moves in, nodes that are there by id and edges that are there in all columns are left out. late tells what moved.
+    Without with_edges the edges are a plan that has not run, for callers that read nodes alone.
     """
     networks, nodes, edges, spoken = built
     made = networks.select("network_id", "made")
@@ -319,7 +320,7 @@ def merge_alternatives(built: Passes) -> Passes:
     same = Window.partitionBy(*[c for c in EDGE if c != "moment"]).orderBy("late", "moment")
     both = moved(edges).withColumn("again", F.row_number().over(same) > 1).where("not (late and again)").drop("again")
     spoken = spoken.unionByName(networks.select(F.col("network_id").alias("id"), F.col("made").alias("said")))
-    return Passes(networks.join(to.select("network_id"), "network_id", "left_anti"), cut(out), cut(both), spoken)
+    return Passes(networks.join(to.select("network_id"), "network_id", "left_anti"), cut(out), cut(both) if with_edges else both, spoken)
 
 
 def reroute(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -342,6 +343,11 @@ def older_networks(senses: DataFrame) -> Passes:
     return built._replace(edges=cut(reroute(built.nodes, built.edges)))
 
 
+def older_nodes(senses: DataFrame) -> DataFrame:
+    """The nodes of older_networks() alone: rerouting changes edges only, and none are merged."""
+    return merge_alternatives(build_passes(senses), with_edges=False).nodes
+
+
 def numbered(built: Passes) -> DataFrame:
     """(id, number): L00000, L00001, ... in the order in which the ids of nodes and networks were first spoken of."""
     said = built.nodes.select("id", "said").unionByName(built.networks.select(F.col("network_id").alias("id"), F.col("made").alias("said"))).unionByName(built.spoken)

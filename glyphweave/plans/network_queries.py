@@ -42,12 +42,13 @@ _OLD_COPTIC = _NL.join([
 ])
 
 
-def _older(spark: SparkSession, sf_dir: str) -> passes.Passes:
+def _older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The senses of the older builder's pages."""
     part = deal(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     page = lambda title, code, text: part.select(F.col("p_partkey").alias("lemma_ord"), F.concat(F.lit(title), F.col("p_partkey").cast("string")).alias("title"), F.lit(code).alias("language"), F.expr(text).alias("full_wikitext"))
     pages = page("e", "Egyptian", _OLD_EGYPTIAN).union(page("d", "Demotic", _OLD_DEMOTIC)).union(page("q", "Coptic", _OLD_COPTIC))
     codes = F.create_map(*[F.lit(x) for x in ("Egyptian", "egy", "Demotic", "dem", "Coptic", "cop")])
-    return passes.older_networks(wt.senses(wt.parse_pages(pages)).withColumn("language", codes[F.col("language")]))
+    return wt.senses(wt.parse_pages(pages)).withColumn("language", codes[F.col("language")])
 
 
 # A word's own Egyptian network (e), that of its plural (p), the Demotic (d) and Coptic (q) ones. Alternative forms of Coptic words join the first network that
@@ -95,14 +96,13 @@ def _form(c: str):
 @query(_OLD_NODES)
 def older_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes after the three passes and the merge, each with its network's root form."""
-    built = _older(spark, sf_dir)
-    return built.nodes.select(_form("network_id").alias("net"), "language", "form", "part_of_speech", F.array_join("meanings", "/").alias("meanings"), "period", "dialect")
+    return passes.older_nodes(_older(spark, sf_dir)).select(_form("network_id").alias("net"), "language", "form", "part_of_speech", F.array_join("meanings", "/").alias("meanings"), "period", "dialect")
 
 
 @query(_OLD_EDGES)
 def older_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges after the three passes, the merge and the rerouting, by the forms of their ends."""
-    return _older(spark, sf_dir).edges.select(_form("network_id").alias("net"), _form("from").alias("from"), _form("to").alias("to"), "type", "notes")
+    return passes.older_networks(_older(spark, sf_dir)).edges.select(_form("network_id").alias("net"), _form("from").alias("from"), _form("to").alias("to"), "type", "notes")
 
 
 # One network a brand: its parts in order, each descending from the one before; every part whose size is a multiple of ten leads back three parts (a cycle), each
