@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree of fixed depth.
 
 1. Tokens that hold a digit or an @ are variable fields from the start and read as one mark.
-2. Candidates. A line that min_docs documents have as it is is its own template. Any other is cut into blocks, one more than a template of its length may have
-   variable places (2 below 7 tokens, 3 below 10, 4 below 13, and so on), so that each template leaves one block as it is; a line of which no block (with token count and place) is held by min_docs documents, other than by lines that are their own templates, is
-   left alone; so is what only a few copies share. That needs a few hashes per line, and no tokens.
+2. Candidates. A line that min_docs documents have as it is is its own template. Any other is cut into blocks. Below 13 tokens these are one more than a template of its length may have
+   variable places (2 below 7 tokens, 3 below 10, then 4), so that each template leaves one block as it is; longer lines have one block more again, so that each template leaves two as they are. A line of which no block, or no two blocks if it is long (with token count
+   and place), are held by min_docs documents, other than by lines that are their own templates, is left alone; so is what only a few copies share. That needs a few hashes per line, and no tokens. A single block
+   of three common words is held by chance in any large table; two blocks at a time are not. Two are sought only in lines of up to PAIRED frequent blocks, since they grow with the square; one is enough in others.
 3. Tree. A candidate's path is its token count and its two leading tokens; a leading token that fewer than min_docs
    documents have below its node goes the node's wildcard way. In a leaf, a token is constant where at least
    min_docs documents have it at its place; every other place is generalised. The template is what is constant. Lines of which a third or more of the
@@ -30,6 +31,8 @@ from glyphweave.session import cut
 
 LEAD = 2
 MIN_DOCS, MIN_KINDS, MIN_TOKENS = 8, 8, 4
+#: Paths of more hashes belong to lines of 13 tokens and more; lines that hold up to so many frequent blocks are sought by two at a time.
+LONG, PAIRED = 5, 12
 #: Stands for a variable field.
 FIELD = "\u0001"
 
@@ -45,7 +48,7 @@ def masked(line: Column) -> Column:
 
 def _blocks(line: Column) -> Column:
     """The hash of a masked line, and of each of its blocks of tokens by token count and place; none for a line that can't recur."""
-    n = F.size(F.split(line, " "))
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1  # blanks and one
     fields = F.when(line.contains(FIELD), F.length(line) - F.length(F.replace(line, F.lit(FIELD), F.lit("")))).otherwise(0)
     part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
 
@@ -57,12 +60,14 @@ def _blocks(line: Column) -> Column:
             inner = lambda j: F.call_function("substring_index", part(edge[j + 1]), F.lit(" "), edge[j] - edge[j + 1])
             return F.array(whole, *[F.xxhash64(n, F.lit(j), part(edge[1]) if j == 0 else part(edge[j] - n) if j == k - 1 else inner(j)) for j in range(k)])
 
-        def parted(tokens: Column) -> Column:  # a block more than a template may have variable places
-            k = F.floor((n - 1) / 3).cast("int") + 1
-            edge = lambda j: F.floor(n.cast("long") * j / k).cast("int")
-            return F.concat(F.array(whole), F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64(n, j, F.slice(tokens, edge(j) + 1, edge(j + 1) - edge(j)))))
+        # two blocks more than a template may have variable places: the last 3 to 5 of two tokens, all others of three
+        short = F.when(n % 3 == 0, 6).when(n % 3 == 1, 10).otherwise(8)
+        tail = F.call_function("substring_index", line, F.lit(" "), -short)
+        head = F.call_function("substring_index", line, F.lit(" "), n - short)
+        blocks = F.concat(F.regexp_extract_all(head, F.lit(r"[^ ]++ [^ ]++ [^ ]++"), F.lit(0)), F.regexp_extract_all(tail, F.lit(r"[^ ]++ [^ ]++"), F.lit(0)))
+        parted = F.concat(F.array(whole), F.transform(blocks, lambda x, j: F.xxhash64(n, j, x)))
 
-        return F.when((n < MIN_TOKENS) | (2 * fields > n), F.array().cast("array<bigint>")).when(n < 7, cut_in(2)).when(n < 10, cut_in(3)).when(n < 13, cut_in(4)).otherwise(let(F.split(line, " "), parted))
+        return F.when((n < MIN_TOKENS) | (2 * fields > n), F.array().cast("array<bigint>")).when(n < 7, cut_in(2)).when(n < 10, cut_in(3)).when(n < 13, cut_in(4)).otherwise(parted)
 
     return let(n, hashed)
 
@@ -74,25 +79,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), paths.alias("paths"))
     own = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter("paths", lambda p: F.size(p) > 0), lambda p: F.get(p, F.lit(0))))), 1, 3)
     bits = F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(_bit(h)))
-    return cut(rows.where(F.exists("paths", lambda p: F.size(p) > 0)).withColumns({"bits": bits, "rid": F.monotonically_increasing_id()}))
+    # texts without lines go when the table is read: a condition before it would have the blocks hashed a second time
+    return cut(rows.withColumns({"bits": bits, "rid": F.monotonically_increasing_id()})).where(F.exists("paths", lambda p: F.size(p) > 0))
 
 
 def _bit(kind: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(kind, F.lit(64)).cast("int"))
 
 
+def _pairs(blocks: Column) -> Column:
+    """A hash for each two of the blocks, which are in order."""
+    return F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(blocks, i + 2, F.size(blocks)), lambda y: F.xxhash64(x, y))))
+
+
 def _candidates(docs: DataFrame, lines: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Lines that are their own templates (rid, line, template), and lines (rid, line, tokens) that share a block with enough unlike documents.
+    """Lines that are their own templates (rid, line, template), and lines (rid, line, tokens) that share a block, or two if they are long, with enough unlike documents.
 
     A document lends the bits of its three smallest line hashes: a group of copies has three at most.
     """
     held = lines.select("bits", F.explode(F.array_distinct(F.flatten("paths"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"), F.bit_or("bits").alias("bits"))
     frequent = cut(held.where((F.col("n") >= min_docs) & (F.bit_count("bits") > 3)).select("part"))
-    at = lines.select("rid", F.posexplode("paths").alias("line", "path")).select("rid", "line", F.posexplode("path").alias("j", "part"))
-    met = at.join(frequent, "part", "left_semi").groupBy("rid", "line").agg(F.min(F.when(F.col("j") == 0, F.col("part"))).alias("template"), F.collect_set(F.when(F.col("j") > 0, F.col("part"))).alias("blocks"))
+    at = lines.select("rid", F.posexplode("paths").alias("line", "path")).select("rid", "line", (F.size("path") > LONG).alias("long"), F.posexplode("path").alias("j", "part"))
+    met = at.join(frequent, "part", "left_semi").groupBy("rid", "line").agg(F.first("long").alias("long"), F.min(F.when(F.col("j") == 0, F.col("part"))).alias("template"), F.array_sort(F.collect_set(F.when(F.col("j") > 0, F.col("part")))).alias("blocks"))
     met = cut(met)
     own = met.where("template is not null").select("rid", "line", "template")
-    rest = met.where("template is null").select("rid", "line", F.explode("blocks").alias("part"))
+    rest = met.where("template is null").select("rid", "line", F.explode(F.when(F.col("long") & (F.size("blocks") <= PAIRED), _pairs(F.col("blocks"))).otherwise(F.col("blocks"))).alias("part"))
     again = rest.select("rid", "part").distinct().groupBy("part").count().where(F.col("count") >= min_docs).select("part")
     wanted = rest.join(again, "part", "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))  # at most a document's own lines
     wanted = cut(wanted.join(lines.select("rid", "doc_id", "text_key"), "rid").select("rid", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "wanted"))

@@ -110,3 +110,32 @@ def test_fields_in_each_quarter(spark):
     line = lambda: " ".join(_unique(r, 1) if k in (3, 6, 9, 12, 15, 18) else w for k, w in enumerate(words))
     texts = [f"{line()}\n{_unique(r)}" for _ in range(12)]
     assert _dropped(spark, texts) == {i: [0] if i else [] for i in range(12)}
+
+
+def test_two_blocks_stay(spark):
+    """However the variable places of a template lie, two blocks of a line of 13 tokens and more stay as they are."""
+    r = random.Random(12)
+    rows = []
+    for n in range(13, 61):
+        words = [_unique(r, 1) for _ in range(n)]
+        k = (n - 1) // 3  # spread evenly, the most that a template may have
+        for at in ({n * i // k for i in range(k)}, {3 * i + 2 for i in range(k)}, set(r.sample(range(n), k))):
+            rows.append((" ".join(words), " ".join("x" if i in at else w for i, w in enumerate(words))))
+    table = spark.createDataFrame(rows, "a string, b string").select(lines._blocks(F.col("a")).alias("a"), lines._blocks(F.col("b")).alias("b"))
+    assert table.where(F.size(F.array_intersect("a", "b")) < 2).count() == 0
+
+
+def test_one_common_block_is_no_candidate(spark):
+    """Long lines of unlike documents that share three words at one place, and nothing else, are left alone before any tokens are read."""
+    r = random.Random(13)
+    rows = [(i, f"{_unique(r, 6)} of the and {_unique(r, 11)}\n{_unique(r)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, rest = lines._candidates(docs, lines._lines(docs), 8)
+    assert own.count() == 0 and rest.count() == 0
+
+
+def test_blocks_are_hashed_once(spark, monkeypatch, capsys):
+    """No condition on the hashes below the table they are written to."""
+    monkeypatch.setattr(lines, "cut", lambda df: (df.explain(), df)[1])
+    lines._lines(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"))
+    assert "exists(" not in capsys.readouterr().out
