@@ -33,6 +33,7 @@ LEAD = 2
 MIN_DOCS, MIN_KINDS, MIN_TOKENS = 8, 8, 4
 #: Paths of more hashes belong to lines of 13 tokens and more; lines that hold up to so many frequent blocks are sought by two at a time.
 LONG, PAIRED = 5, 12
+WORDS = 1 << 18
 #: Stands for a variable field.
 FIELD = "\u0001"
 
@@ -87,6 +88,13 @@ def _bit(kind: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(kind, F.lit(64)).cast("int"))
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose part has its bit among 2^24 bits of the keys: WORDS rows of 64 at most, whatever the number of keys, which lose no row."""
+    word = F.pmod(F.shiftright("part", 6), F.lit(WORDS)).alias("word")
+    bits = keys.groupBy(word).agg(F.bit_or(_bit(F.col("part"))).alias("mask"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("mask").bitwiseAND(_bit(F.col("part"))) != 0).drop("word", "mask")
+
+
 def _pairs(blocks: Column) -> Column:
     """A hash for each two of the blocks, which are in order."""
     return F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(blocks, i + 2, F.size(blocks)), lambda y: F.xxhash64(x, y))))
@@ -100,7 +108,8 @@ def _candidates(docs: DataFrame, lines: DataFrame, min_docs: int) -> tuple[DataF
     held = lines.select("bits", F.explode(F.array_distinct(F.flatten("paths"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"), F.bit_or("bits").alias("bits"))
     frequent = cut(held.where((F.col("n") >= min_docs) & (F.bit_count("bits") > 3)).select("part"))
     at = lines.select("rid", F.posexplode("paths").alias("line", "path")).select("rid", "line", (F.size("path") > LONG).alias("long"), F.posexplode("path").alias("j", "part"))
-    met = at.join(frequent, "part", "left_semi").groupBy("rid", "line").agg(F.first("long").alias("long"), F.min(F.when(F.col("j") == 0, F.col("part"))).alias("template"), F.array_sort(F.collect_set(F.when(F.col("j") > 0, F.col("part")))).alias("blocks"))
+    # merged at every size; the bits keep most rows from being dealt out for it (a semi-join would be moved below them; a part is one row of frequent)
+    met = _maybe(at, frequent).join(frequent.hint("merge"), "part").groupBy("rid", "line").agg(F.first("long").alias("long"), F.min(F.when(F.col("j") == 0, F.col("part"))).alias("template"), F.array_sort(F.collect_set(F.when(F.col("j") > 0, F.col("part")))).alias("blocks"))
     met = cut(met)
     own = met.where("template is not null").select("rid", "line", "template")
     rest = met.where("template is null").select("rid", "line", F.explode(F.when(F.col("long") & (F.size("blocks") <= PAIRED), _pairs(F.col("blocks"))).otherwise(F.col("blocks"))).alias("part"))
