@@ -13,12 +13,23 @@ def letters_only(stem: bytes) -> bool:
     return unicodedata.normalize("NFC", stem.decode()).lower().isalpha()
 
 
+def encoded(encode, words: list[bytes], kind: str) -> list[bytes]:
+    """The ids of each word, all in one call: parted by blanks they are encoded as they are alone, and the offsets tell whose ids are whose."""
+    texts = [w.decode() for w in words]
+    found = encode(" ".join(texts), add_special_tokens=False)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+    edge = np.dtype(kind).itemsize * np.append(np.searchsorted(begins, np.cumsum(size) - size), len(begins))
+    flat, edge = np.array(found.ids, kind).tobytes(), edge.tolist()
+    return [flat[i:j] for i, j in zip(edge, edge[1:], strict=False)]
+
+
 _MADE: dict[str, WordIds] = {}
 _PARTS: dict[str, dict[bytes, bytes]] = {}
 
 
 class WordIds(dict):
-    """Ids of each word (bytes of little-endian 32-bit numbers), worked out once while it stays in the cache.
+    """Ids of each word (bytes of little-endian 32-bit numbers), worked out once while it stays in the cache, new words of many texts in one call.
 
     The tokenizer drops white space and splits there before anything else, so a text's ids are its words' ids in a row
     (tests hold this against whole texts). Words part at the six ASCII spaces only; any other space stays inside its
@@ -39,19 +50,41 @@ class WordIds(dict):
             _MADE[path] = WordIds(path)
         return _MADE[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """The words whose ids are this one's in a row: itself, or its letters in lower case and the marks that follow."""
         stem = word.rstrip(b".,;:!?")
-        if (stem != word or stem != stem.lower()) and letters_only(stem):
-            found = self[stem.lower()] + (self[word[len(stem) :]] if stem != word else b"")
-        else:
-            found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
-        return found
+        low = stem.lower()
+        if (stem != word or low != stem) and letters_only(stem):
+            return (low, word[len(stem) :]) if stem != word else (low,)
+        return (word,)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of new words, many in one call of the tokenizer."""
+        parts = {w: self._parts(w) for w in words}
+        unknown = [w for w in set().union(*parts.values()) if w not in self]
+        for at in range(0, len(unknown), 1024):
+            some = unknown[at : at + 1024]
+            self.update(zip(some, encoded(self.encode, some, "<u4"), strict=True))
+        for w, p in parts.items():
+            if w is not p[0]:
+                self[w] = self[p[0]] + self[p[1]] if len(p) > 1 else self[p[0]]
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts at a time: new words are entered once for all."""
+        words = [t.split() for t in texts]
+        found = [list(map(self.get, w)) for w in words]
+        new = {w for ws, got in zip(words, found, strict=True) if None in got for w, x in zip(ws, got, strict=True) if x is None}
+        if len(self) + len(new) > self.most:
+            self.clear()
+        self.learn(new)
+        return [b"".join([self[w] if x is None else x for w, x in zip(ws, got, strict=True)] if None in got else got) for ws, got in zip(words, found, strict=True)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.learn({word})
+        return self[word]
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.of_all([text])[0]
 
 
 class WordTable:
@@ -74,16 +107,9 @@ class WordTable:
         return (stem, word[len(stem) :]) if stem != word and letters_only(stem) else (word,)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words, many in one call: parted by blanks they are encoded as they are alone, and the offsets tell whose ids are whose."""
         for at in range(0, len(words), 1024):
             some = words[at : at + 1024]
-            texts = [w.decode() for w in some]
-            found = self.encode(" ".join(texts), add_special_tokens=False)
-            size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            edge = 2 * np.append(np.searchsorted(begins, np.cumsum(size) - size), len(begins))
-            flat, edge = np.array(found.ids, "<u2").tobytes(), edge.tolist()
-            self.ids.update(zip(some, (flat[i:j] for i, j in zip(edge, edge[1:], strict=False)), strict=True))
+            self.ids.update(zip(some, encoded(self.encode, some, "<u2"), strict=True))
 
     def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
         """The word numbers of some texts at a time (small ones together: new words are entered once for all)."""

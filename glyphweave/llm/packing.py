@@ -86,9 +86,10 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
         part, seen, ids = TaskContext.get().partitionId(), {}, WordIds.at(tokenizer)
         end = END.to_bytes(4, "little")
         for batch in batches:
-            row, rest = [], []
-            for k, text in enumerate(batch.column(len(keep))):
-                got = ids.of(text.as_py() or b"") + end
+            row, rest, texts = [], [], [t or b"" for t in batch.column(len(keep)).to_pylist()]
+            some = (got for at in range(0, len(texts), 256) for got in ids.of_all(texts[at : at + 256]))
+            for k, got in enumerate(some):
+                got += end
                 for piece, start in enumerate(range(0, len(got), 4 * capacity)):
                     one = got[start : start + 4 * capacity]
                     n = len(one) // 4

@@ -498,3 +498,18 @@ def test_chains(points):
     assert sorted(i for c in found for i in c) == list(range(len(points)))
     for c in found:
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+
+
+def test_new_words_are_encoded_together():
+    """The ids of a batch of texts come from one call of the tokenizer, also when the cache is emptied in between; they are those of whole texts."""
+    from tokenizers import Tokenizer
+
+    whole, ids, calls = Tokenizer.from_file(TOKENIZER), WordIds(TOKENIZER, most=12), []
+    encode = ids.encode
+    ids.encode = lambda text, **more: (calls.append(text), encode(text, **more))[1]
+    texts = ["Élan, vital ÉLAN. don't x1_y2", "", "vital; élan vital it's 12:30!", " \t", "<|endoftext|> été İstanbul... ??"]
+    for _ in range(2):
+        calls.clear()
+        got = ids.of_all([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(calls) <= 1
