@@ -9,7 +9,9 @@
    no verbatim passage of min_words words is lost, whatever else holds its parts. Those that no chain covers are
    passages by themselves, extended like chains.
    An edited passage whose seeds all have their ends elsewhere is sought in a second turn: stretches of shared seeds that
-   no passage covers yet and that are long enough for one meet among themselves, each seed all its holders: up to RARE of them as a list, more by a join, whose pairs grow with the square of the holders.
+   no passage covers yet and that are long enough for one meet among themselves: up to RARE holders of a seed all with all. Of a seed that
+   more hold, as fragments of a common line and runs of one word are, those meet that have more in common: a sign is three words at one distance from the seed, up to REACH words away. A passage is longer than
+   what is common to so many, so its two texts share signs beyond that: up to RARE holders of a sign meet all with all, more meet some of their number, two for each of SALTS orders. So pairs grow with the rows.
 3. Chains: the matches of a pair of texts, in order of the one text, go through a Fenwick tree over the other; it holds for each prefix
    the best chain, where a chain earns K for a match and pays GAP for each word between matches.
 4. Alignment: chains are extended word by word at both ends while the score stays within DROP of its best; gaps inside
@@ -37,8 +39,10 @@ from glyphweave.llm._shingles import mix, word_hashes
 from glyphweave.session import cut, release
 
 K, WINDOW, GAP, DROP = 6, 10, 0.08, 12
-#: The second turn: holders of a seed that meet as a list; widest gap between seeds of one stretch, and least words that its seeds span.
+#: The second turn: holders of a seed or sign that meet as a list; widest gap between seeds of one stretch, and least words that its seeds span.
 RARE, APART, SPAN = 64, 30, 24
+#: Words of a sign, its greatest distance from the seed, and orders of the holders of a sign.
+SIGN, REACH, SALTS = 3, 64, 4
 MIN_WORDS, MIN_IDENTITY = 45, 0.8
 
 
@@ -60,6 +64,18 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[~inner], at[~inner].astype(np.int32)
 
 
+def signs(w: np.ndarray, values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Distinct hashes of SIGN words with their distance from each place, and its seed: the seed's own first words, and all others up to REACH words away."""
+    far = np.concatenate((np.arange(-REACH, 1), np.arange(K - SIGN + 1, REACH + 1)))
+    grams, out = run_hashes(w, SIGN), [np.zeros(0, np.uint64)]
+    for part in range(0, len(places), 4096):
+        at = places[part : part + 4096, None].astype(np.int64) + far
+        own = mix(values[part : part + 4096].view(np.uint64))[:, None] + mix((far + REACH).astype(np.uint64))
+        good = (at >= 0) & (at < len(grams))
+        out.append(np.unique(mix(own[good] + grams[at[good]])))
+    return np.unique(np.concatenate(out))
+
+
 def stretches(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Which of the places of shared seeds, in order, lie outside of spans (start, end) and in a stretch that may be part of a passage."""
     free = np.ones(len(at), bool)
@@ -179,6 +195,13 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, chain: lis
     return start_a, i + after, start_b, j + after, same
 
 
+def first_of(values: np.ndarray) -> np.ndarray:
+    """1 where a value is the first of its kind, else 0."""
+    out = np.zeros(len(values), np.int8)
+    out[np.unique(values, return_index=True)[1]] = 1
+    return out
+
+
 def whole_runs(size: int, unshared: np.ndarray, n: int) -> np.ndarray:
     """Starts of the n-word runs that may stand in another text: all but those with an unshared seed where it depends on the run's words alone."""
     may = np.ones(max(0, size - n + 1), bool)
@@ -236,7 +259,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            size, values, places = [], [], []
+            size, values, places, sides = [], [], [], []
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h = word_hashes(text.as_py() or b"")
                 size.append(len(h))
@@ -244,17 +267,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
                 seen.add(key)
                 values.append(value.view(np.int64))
                 places.append(at)
+                sides.append(first_of(value) + 2 * first_of(value[::-1])[::-1])
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, t))) for v, t in ((values, np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), *lists], names=["doc_id", "t", "size", "seeds", "places"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, t))) for v, t in ((values, np.int64), (places, np.int32), (sides, np.int8))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), *lists], names=["doc_id", "t", "size", "seeds", "places", "sides"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    rows = cut(named.mapInArrow(plant, f"doc_id {kind}, t long, size int, seeds array<long>, places array<int>"))
-    holds = rows.where(F.size("seeds") > 0).select("t", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
-    shared = holds.groupBy("seed").agg(F.min(F.struct("t", "at")).alias("low"), F.max(F.struct("t", "at")).alias("high")).where("low.t < high.t")
-    ends = F.filter(F.array("low", F.when(F.col("t") != F.col("low.t"), F.col("high"))), lambda o: o.isNotNull() & (o["t"] != F.col("t")))
-    met = holds.join(shared, "seed").select("t", "at", F.explode(ends).alias("o")).select("t", F.col("o.t").alias("o"), "at", F.col("o.at").alias("o_at"))
+    rows = cut(named.mapInArrow(plant, f"doc_id {kind}, t long, size int, seeds array<long>, places array<int>, sides array<tinyint>"))
+    holds = rows.where(F.size("seeds") > 0).select("t", F.explode(F.arrays_zip("seeds", "places", "sides")).alias("s")).select("t", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"), F.col("s.sides").alias("side"))
+    # the first place in the smallest text and the last one in the largest: of plain numbers, which are grouped by hash; a struct would be sorted
+    low, high = (f("at", F.when(F.col("side").bitwiseAND(F.lit(bit)) != 0, F.col("t"))).alias(name) for f, bit, name in ((F.min_by, 1, "low_at"), (F.max_by, 2, "high_at")))
+    shared = holds.groupBy("seed").agg(F.min("t").alias("low"), low, F.max("t").alias("high"), high).where("low < high")
+    ends = F.filter(F.array(F.struct(F.col("low").alias("t"), F.col("low_at").alias("at")), F.struct(F.col("high").alias("t"), F.col("high_at").alias("at"))), lambda o: o["t"] != F.col("t"))
+    met = holds.join(shared, "seed").where("t != low").select("t", "at", F.explode(ends).alias("o")).select("t", F.col("o.t").alias("o"), "at", F.col("o.at").alias("o_at"))
     met = cut(met.groupBy("t", "o").agg(F.collect_set(F.struct("at", "o_at")).alias("m")))  # at most a text's own seeds
     spread = F.array_max(F.transform("m", lambda m: m["at"])) - F.array_min(F.transform("m", lambda m: m["at"]))
     pairs = met.where((F.size("m") >= 2) & (spread >= K))
@@ -294,16 +320,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     spelled = spell(ends_of(pairs).union(runs.select("t")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*wait, strict=True)]
+            wait.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["t", "h", "at", "first"])
+
         for batch in batches:
             for key, starts, w in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 at = np.concatenate([np.arange(i, j + 1) for i, j in starts.values.to_numpy().reshape(-1, 2)])
                 h = run_hashes(w.values.to_numpy(), run)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key.as_py())), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["t", "h", "at"])
-
-    whole_run = runs.join(spelled, "t").select("t", "starts", "w").mapInArrow(hashed, "t long, h long, at int")
-    first_run = whole_run.groupBy("h").agg(F.min(F.struct("t", "at")).alias("low"), F.max("t").alias("high")).where("low.t < high").select("h", "low")
-    linked = whole_run.join(first_run, "h").where(F.col("t") != F.col("low.t"))
-    linked = linked.groupBy("t", F.col("low.t").alias("o")).agg(F.collect_set(F.struct("at", F.col("low.at").alias("o_at"))).alias("e"))  # at most a text's own words
+                wait.append((np.full(len(at), key.as_py()), h.view(np.int64), at.astype(np.int32), first_of(h)))
+                if sum(len(x[0]) for x in wait) > 20_000:
+                    yield out()
+        if wait:
+            yield out()
+
+    whole_run = runs.join(spelled, "t").select("t", "starts", "w").mapInArrow(hashed, "t long, h long, at int, first tinyint")
+    low_at = F.min_by("at", F.when(F.col("first") == 1, F.col("t")))
+    first_run = whole_run.groupBy("h").agg(F.min("t").alias("o"), low_at.alias("o_at"), F.max("t").alias("high")).where("o < high").select("h", "o", "o_at")
+    linked = whole_run.join(first_run, "h").where("t != o")
+    linked = linked.groupBy("t", "o").agg(F.collect_set(F.struct("at", "o_at")).alias("e"))  # at most a text's own words
     none_run = F.array().cast(met.schema["m"].dataType)
     pairs = cut(pairs.join(linked, ["t", "o"], "full").select("t", "o", F.coalesce("m", none_run).alias("m"), F.coalesce("e", none_run).alias("e")))
 
@@ -346,8 +384,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     held = cut(loose.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("t", "at")).alias("low"), F.max(F.struct("t", "at")).alias("high")).where("low.t < high.t"))
     few = loose.join(held.where(F.col("n") <= RARE).select("seed"), "seed").groupBy("seed").agg(F.collect_list(F.struct("t", "at")).alias("h"))  # RARE at most
     few = few.select("h", F.explode("h").alias("x")).select("x", F.explode("h").alias("y")).where("x.t > y.t").select(F.col("x.t").alias("t"), F.col("y.t").alias("o"), F.col("x.at").alias("at"), F.col("y.at").alias("o_at"))
-    often = loose.join(held.where(F.col("n") > RARE).select("seed"), "seed")  # their holders meet in a join, so that none are collected
-    many = often.join(often.select("seed", F.col("t").alias("o"), F.col("at").alias("o_at")).hint("merge"), "seed").where("t > o").select("t", "o", "at", "o_at")
+    few = cut(few)
+    often = cut(loose.join(held.where(F.col("n") > RARE).select("seed"), "seed"))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, values, places, w in zip(*(batch.column(i) for i in range(4)), strict=True):
+                found = signs(w.values.to_numpy(), values.values.to_numpy(), places.values.to_numpy()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key.as_py())), pa.array(found)], names=["t", "sign"])
+
+    held_often = often.groupBy("t").agg(F.collect_list(F.struct("seed", "at")).alias("s"))  # at most a text's own seeds
+    signed_ = cut(held_often.join(spell(often.select("t")), "t").select("t", F.col("s.seed").alias("seeds"), F.col("s.at").alias("places"), "w").mapInArrow(signed, "t long, sign long"))
+    order = F.xxhash64("t", F.pmod("sign", F.lit(SALTS)))
+    met_by = signed_.groupBy("sign").agg(F.count("*").alias("n"), F.min_by("t", order).alias("low"), F.max_by("t", order).alias("high")).where("n > 1")
+    listed = signed_.join(met_by.where(F.col("n") <= RARE).select("sign"), "sign").groupBy("sign").agg(F.collect_list("t").alias("h"))  # RARE at most
+    listed = listed.select("h", F.explode("h").alias("t")).select("t", F.explode("h").alias("o"))
+    ended = signed_.join(met_by.where(F.col("n") > RARE).select("sign", "low", "high"), "sign").select("t", F.explode(F.array("low", "high")).alias("o"))
+    ended = ended.where("t != o").select(F.greatest("t", "o").alias("t"), F.least("t", "o").alias("o"))
+    meet = few.select("t", "o").union(listed.where("t > o")).union(ended).distinct()
+    many = meet.join(often, "t").join(often.select(F.col("t").alias("o"), "seed", F.col("at").alias("o_at")), ["o", "seed"]).select("t", "o", "at", "o_at")
     again = few.union(many).groupBy("t", "o").agg(F.collect_set(F.struct("at", "o_at")).alias("m")).where((F.size("m") >= 2) & (spread >= SPAN))
     again = cut(again.select("t", "o", "m", none_run.alias("e")))
     found = found.unionByName(passages_of(again, spell(ends_of(again))))

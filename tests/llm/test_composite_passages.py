@@ -147,3 +147,44 @@ def test_edited_passage_of_frequent_seeds(spark, monkeypatch):
     outsiders = [_outside(r, part, good) for part in (one, two) for good in (lambda k: k < low, lambda k: k > high) for _ in range(3)]
     got = _found(spark, [x, y, *outsiders])
     assert len(got) == 1 and {got[0].doc_id, got[0].other_id} == {0, 1} and got[0].n_words == 85
+
+
+def _met(spark, monkeypatch, n):
+    """Pairs of the second turn among n texts that share a line of 43 words with one field, and passages found."""
+    pairs, cut = [], passages.cut
+
+    def spy(df, *by):
+        out = cut(df, *by)
+        if df.columns == ["t", "o", "m", "e"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "cut", spy)
+    r = random.Random(17)
+    one, two = _fresh(r, 21), _fresh(r, 21)
+    found = _found(spark, [_fresh(r, 30) + one + _fresh(r, 1) + two + _fresh(r, 30) for _ in range(n)])
+    monkeypatch.setattr(passages, "cut", cut)
+    return pairs[1], found
+
+
+def test_pairs_of_a_common_line_grow_with_its_holders(spark, monkeypatch):
+    monkeypatch.setattr(passages, "RARE", 4)
+    (few, none), (many, nor_here) = (_met(spark, monkeypatch, n) for n in (30, 120))
+    assert not none and not nor_here
+    assert 30 <= few and many <= 5 * few
+
+
+def test_edited_passages_behind_a_common_line(spark, monkeypatch):
+    """Each of many texts with a common line has a partner with which it shares more, in words of which no six stand together."""
+    monkeypatch.setattr(passages, "RARE", 4)
+    r = random.Random(19)
+    one, two = _fresh(r, 21), _fresh(r, 21)
+    texts = []
+    for _ in range(10):
+        tail = _fresh(r, 36)
+        for _ in range(2):
+            own = [w if i % 6 else _fresh(r, 1)[0] for i, w in enumerate(tail)]
+            texts.append(_fresh(r, 30) + one + _fresh(r, 1) + two + own + _fresh(r, 10))
+    found = _found(spark, texts)
+    pairs = {frozenset((f.doc_id, f.other_id)) for f in found}
+    assert {frozenset((i, i + 1)) for i in range(0, len(texts), 2)} <= pairs
