@@ -16,7 +16,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash for each word; A-Z count as a-z. bytes.split() parts at the six ASCII spaces."""
     words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:

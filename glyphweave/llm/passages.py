@@ -64,6 +64,49 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[~inner], at[~inner].astype(np.int32)
 
 
+def seeds_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of seeds of each text, hashes, positions, 1 for the first of a hash in its text plus 2 for the last) of some texts at a time, as seeds() finds them."""
+    m = np.array([len(h) - K + 1 for h in texts], np.int64)
+    whole = np.flatnonzero(m >= WINDOW)
+    owner, value, place = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    if len(whole):
+        h = np.concatenate([texts[i] for i in whole])
+        top = len(h) - K + 1
+        s = h[:top]
+        for j in range(1, K):
+            s = mix(s) + h[j : top + j]
+        s = mix(s)
+        begin = np.cumsum(m[whole] + K - 1) - (m[whole] + K - 1)
+        # the smallest and its first place in windows of 2, 4, 8 and all words; those that reach into the next text are left out
+        best, at = s, np.arange(top)
+        for size in (1, 2, 4, WINDOW - 8):
+            right = best[size:] < best[:-size]
+            best, at = np.where(right, best[size:], best[:-size]), np.where(right, at[size:], at[:-size])
+        count = m[whole] - WINDOW + 1
+        mine = np.repeat(whole, count)
+        at = at[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        mine, at = mine[new], at[new]
+        v, inner = s[at], np.zeros(len(at), bool)
+        inner[1:-1] = (v[1:-1] == v[:-2]) & (v[1:-1] == v[2:]) & (mine[1:-1] == mine[:-2]) & (mine[1:-1] == mine[2:])
+        first = np.zeros(len(texts), np.int64)
+        first[whole] = begin
+        owner, value, place = [mine[~inner]], [v[~inner]], [(at - first[mine])[~inner].astype(np.int32)]
+    for i in np.flatnonzero((m > 0) & (m < WINDOW)).tolist():
+        v, at = seeds(texts[i])
+        owner.append(np.full(len(v), i))
+        value.append(v)
+        place.append(at)
+    mine, v, at = np.concatenate(owner), np.concatenate(value), np.concatenate(place)
+    order = np.argsort(mine, kind="stable")
+    mine, v, at = mine[order], v[order], at[order]
+    order = np.lexsort((v, mine))
+    edge = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (mine[order][1:] != mine[order][:-1]), [True]))[: len(v) + 1]
+    sides = np.zeros(len(v), np.int8)
+    sides[order] = edge[:-1] + 2 * edge[1:] if len(v) else 0
+    return np.bincount(mine, minlength=len(texts)), v, at, sides
+
+
 def signs(w: np.ndarray, values: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Distinct hashes of SIGN words with their distance from each place, and its seed: the seed's own first words, and all others up to REACH words away."""
     far = np.concatenate((np.arange(-REACH, 1), np.arange(K - SIGN + 1, REACH + 1)))
@@ -95,6 +138,8 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     The best predecessor is chosen by that; where it overlaps a match, the words in common are taken off afterwards.
     """
     order = np.lexsort((-y, x))
+    if (np.diff(x[order]) > 0).all() and (np.diff(y[order]) > 0).all():
+        return _parted(order.tolist(), x.tolist(), y.tolist())
     rank = {v: i + 1 for i, v in enumerate(sorted(set(y.tolist())))}
     size = len(rank)
     best, who = [-1e18] * (size + 1), [-1] * (size + 1)
@@ -127,8 +172,23 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
         else:
             score[i] = float(K)
         wait.append(i)
-    out, used = [], [False] * len(x)
-    for i in sorted(range(len(x)), key=lambda i: -score[i]):
+    return _by_score(score, back)
+
+
+def _parted(order: list[int], xs: list[int], ys: list[int]) -> list[list[int]]:
+    """chains() of matches that grow in both texts: the best predecessor of each is the one before it."""
+    score, back = [float(K)] * len(order), [-1] * len(order)
+    for p, i in zip(order, order[1:], strict=False):
+        dx, dy = xs[i] - xs[p], ys[i] - ys[p]
+        grown = score[p] + min(K, dx, dy) - GAP * max(0, dx + dy - 2 * K)
+        if grown > K:
+            score[i], back[i] = grown, p
+    return _by_score(score, back)
+
+
+def _by_score(score: list[float], back: list[int]) -> list[list[int]]:
+    out, used = [], [False] * len(score)
+    for i in sorted(range(len(score)), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -145,10 +205,19 @@ def extend(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     while done < n:
         part = slice(done, min(n, done + 128))
-        run = score + np.cumsum(np.where(a[part] == b[part], 1, -2))
-        top = np.maximum.accumulate(np.maximum(run, best))
-        stop = np.flatnonzero(run < top - DROP)
-        run = run[: stop[0]] if len(stop) else run
+        equal = a[part] == b[part]
+        lost = len(equal) - int(np.count_nonzero(equal))
+        if not lost:
+            score, done = score + len(equal), part.stop
+            if score > best:
+                best, length = score, done
+            continue
+        run = score + np.cumsum(np.where(equal, 1, -2))
+        stop = ()
+        if best - score + 2 * lost > DROP:
+            top = np.maximum.accumulate(np.maximum(run, best))
+            stop = np.flatnonzero(run < top - DROP)
+            run = run[: stop[0]] if len(stop) else run
         if len(run) and run.max() > best:
             best, length = int(run.max()), done + int(run.argmax()) + 1
         if len(stop):
@@ -259,17 +328,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            size, values, places, sides = [], [], [], []
+            size, found, some, words = [], [], [], 0
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h = word_hashes(text.as_py() or b"")
                 size.append(len(h))
-                value, at = seeds(h if key not in seen else h[:0])
+                some.append(h if key not in seen else h[:0])
                 seen.add(key)
-                values.append(value.view(np.int64))
-                places.append(at)
-                sides.append(first_of(value) + 2 * first_of(value[::-1])[::-1])
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.zeros(0, t))) for v, t in ((values, np.int64), (places, np.int32), (sides, np.int8))]
+                words += len(some[-1])
+                if words > 200_000:  # some texts at a time, so that memory is bounded by a batch's or a text's words
+                    found.append(seeds_of(some))
+                    some, words = [], 0
+            number, *lists = (np.concatenate(x) for x in zip(*found, seeds_of(some), strict=True))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(number))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (lists[0].view(np.int64), *lists[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), *lists], names=["doc_id", "t", "size", "seeds", "places", "sides"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

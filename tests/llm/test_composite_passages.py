@@ -188,3 +188,33 @@ def test_edited_passages_behind_a_common_line(spark, monkeypatch):
     found = _found(spark, texts)
     pairs = {frozenset((f.doc_id, f.other_id)) for f in found}
     assert {frozenset((i, i + 1)) for i in range(0, len(texts), 2)} <= pairs
+
+
+def test_seeds_of_many_texts(monkeypatch):
+    """Seeds of texts at a time are those of each by itself, with the first and the last of a hash marked; also short, empty and periodic texts."""
+    r = random.Random(23)
+    texts = [np.array([r.randrange(kinds) for _ in range(n)], np.uint64) for n in (0, 3, 5, 6, 7, 14, 15, 16, 40, 300) for kinds in (1, 2, 9, 1 << 60) for _ in range(3)]
+    r.shuffle(texts)
+    for some in (texts, texts[:1], [], [t for t in texts if len(t) < 15]):
+        n, value, at, sides = passages.seeds_of(some)
+        found = [passages.seeds(t) for t in some]
+        assert n.tolist() == [len(v) for v, _ in found]
+        assert value.tolist() == [x for v, _ in found for x in v.tolist()] and at.tolist() == [x for _, a in found for x in a.tolist()]
+        assert sides.tolist() == [(x not in v[:i]) + 2 * (x not in v[i + 1 :]) for v in (v.tolist() for v, _ in found) for i, x in enumerate(v)]
+
+
+def test_extension_and_chains_in_short():
+    """extend() against its definition, word by word."""
+    r = np.random.default_rng(29)
+    for _ in range(400):
+        n = int(r.integers(0, 400))
+        a = r.integers(0, 9, n)
+        b = np.where(r.random(n) < r.choice([0, 0.01, 0.1, 0.4]), -1, a)
+        best = length = score = 0
+        for i in range(n):
+            score += 1 if a[i] == b[i] else -2
+            if score < best - passages.DROP:
+                break
+            if score > best:
+                best, length = score, i + 1
+        assert passages.extend(a, b) == length
